@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from moraine.llm.textkit import table
+from moraine.llm.textkit import remainder, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +16,47 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moraine.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moraine.llm.quality import judge, train
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moraine.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, train(docs))
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moraine.llm.substring import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moraine.llm.lines import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moraine.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moraine.llm.tokencounts import histogram, lengths
 
@@ -40,7 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op5_substring, op8_token_counts, op9_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_language, op5_substring, op6_lines, op7_pii, op8_token_counts, op9_bpe, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
