@@ -75,8 +75,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_language, op5_substring, op6_lines, op7_pii, op8_token_counts, op9_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_language, op5_substring, op6_lines, op7_pii, op8_token_counts, op9_bpe, op10_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

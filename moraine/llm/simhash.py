@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return fps.join(known, fps["fp"] == known["known_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", **tree) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", **tree) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, all columns kept.
 
     Rows without an id stay.  Of repeated rows with one id all stay or all go.
