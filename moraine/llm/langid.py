@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import LOWER, U64, batch, chunks, ids_and_text, remainder
+from moraine.llm.textkit import LOWER, U64, batch, chunks, ids_and_text, remainder, thinned
 
 LONGEST, WIDTH = 4, 1 << 13
 LANDMARKS, SAMPLE = 24, 3000
@@ -102,8 +102,7 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, id_col: s
     """Fit on texts with a language whose crc32(id) mod 5 is not 0; null and empty texts are left out."""
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     known = source.where("lang is not null and text rlike '\\\\p{L}' and doc_id is not null").where(remainder("doc_id", 5) != 0)
-    picked = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "id")  # a bounded table
-    texts = known.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lang")
+    texts = thinned(known, most, "doc_id")
     out = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())])
 
     def run(batches):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import SPACED, U64, batch, chunks, doc_of, grams, ids_and_text, mix, per_doc, remainder, word_hashes, words
+from moraine.llm.textkit import SPACED, U64, batch, chunks, cut, doc_of, grams, ids_and_text, mix, per_doc, remainder, thinned, word_hashes, words
 
 LABELLED = 8000
 TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.2
@@ -152,7 +152,7 @@ def fit(x: np.ndarray, label: np.ndarray, constraints: list[int] | None = None,
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Forest:
     """Fit on labelled documents whose crc32(id) mod 4 is not 2; null labels and ids are left out."""
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null").where(remainder("id", 4) != 2)
-    known = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)  # a bounded table
+    known = thinned(cut(known.groupBy("id").agg(F.max("label").alias("label"))), most, "id")  # a bounded table
     texts = ids_and_text(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
     out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
 

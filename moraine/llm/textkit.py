@@ -51,6 +51,15 @@ def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def thinned(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """About ``most`` rows, those of the least hash of their key; all if there are no more.
+
+    A filter, so neither a task nor the driver sees more than it keeps.
+    """
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < F.lit(int(most / n * (1 << 40))))
+
+
 def remainder(doc_id: str, by: int):
     """crc32 of the id as text, modulo ``by``; a null id gives null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(by)

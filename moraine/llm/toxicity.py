@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import ALNUM, U64, batch, chunks, doc_of, ids_and_text, mix, remainder, word_hashes, words
+from moraine.llm.textkit import ALNUM, U64, batch, chunks, cut, doc_of, ids_and_text, mix, remainder, thinned, word_hashes, words
 
 BUCKETS = 1 << 22
 #: Bounds of the fit: labelled documents, and terms that the model may use.
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     An id with several labels counts as labelled 1 if any is 1.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null").where(remainder("id", 4) != 2)
-    known = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)  # a bounded table
+    known = thinned(cut(known.groupBy("id").agg(F.max("label").alias("label"))), most, "id")  # a bounded table
     texts = ids_and_text(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
     out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.binary())])
 
