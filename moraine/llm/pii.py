@@ -119,15 +119,31 @@ def report(docs: DataFrame, threshold: float = THRESHOLD, **columns) -> DataFram
     return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
+def _keeps(kind: str, threshold: float):
+    return lambda x: _confirmed(kind, x) & (F.lit(kind in BASE) | (_score(kind, x) >= threshold))
+
+
+def _replaced(kind: str, text: Column):
+    def add(acc: Column, x: Column) -> Column:
+        before = F.substr(text, acc["at"], x["begin"] + 1 - acc["at"])
+        return F.struct((x["end"] + 1).alias("at"), F.concat(acc["out"], before, F.lit(f"[{kind}]")).alias("out"))
+
+    return add
+
+
+def _rest(text: Column):
+    return lambda acc: F.concat(acc["out"], F.substr(text, acc["at"]))
+
+
 def redact(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; of spans that overlap the first kind counts."""
     text = F.coalesce(docs[text_col], F.lit(""))
     out = docs
     for k in KINDS:
         all_ = spans(text, k)
-        good = F.filter(all_, lambda x, k=k: _confirmed(k, x) & (F.lit(k in BASE) | (_score(k, x) >= threshold)))
+        good = F.filter(all_, _keeps(k, threshold))
         start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-        joined = F.aggregate(good, start, lambda acc, x, k=k, t=text: F.struct((x["end"] + 1).alias("at"), F.concat(acc["out"], F.substr(t, acc["at"], x["begin"] + 1 - acc["at"]), F.lit(f"[{k}]")).alias("out")), lambda acc, t=text: F.concat(acc["out"], F.substr(t, acc["at"])))
+        joined = F.aggregate(good, start, _replaced(k, text), _rest(text))
         out = out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), joined))
         text = F.coalesce(F.col(text_col), F.lit(""))
     return out

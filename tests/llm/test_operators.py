@@ -1,0 +1,458 @@
+"""Every operator against a brute-force version, and on odd rows."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from moraine.llm import bpe, decontam, langid, lines, pii, quality, simhash, substring, textkit, tokencounts, toxicity
+
+WORD = r"[^\x20\x09-\x0D]+"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, words string, spans string, label int"
+
+
+def table(spark, texts, ids=None, lang=None):
+    """Documents with columns whose names operators use inside."""
+    ids = ids or list(range(len(texts)))
+    return spark.createDataFrame([(i, t, lang[k] if lang else "en", "s", None, 1, "w", "s", 0) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], SCHEMA).repartition(3)
+
+
+def odd(seed=1):
+    rnd = random.Random(seed)
+    some = ["", " \n\t ", None, "a", "A b", "x" * 5000, "é中😀 \x1c y\x85z", "same text here twice over", "same text here twice over", "\n".join(["one line of five words"] * 3)]
+    return some + [" ".join(rnd.choice(["the", "of", "Cat", "dog.", "run", f"w{rnd.randrange(40)}"]) for _ in range(rnd.choice([3, 30, 200]))) for _ in range(30)] + ["long " * 30000]
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def union(n, pairs):
+    p = list(range(n))
+
+    def find(x):
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        p[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+# --- words --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("kind", "pattern", "lower"), [(textkit.SPACED, WORD, False), (textkit.ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", True)])
+def test_words_and_hashes(kind, pattern, lower):
+    texts = odd() + ["x" * 9000 + " y " + "x" * 9000]
+    seen = {}
+    for i, j, data, off in textkit.chunks(pa.array(texts), 3000):
+        start, end, bounds = textkit.words(data, off, kind)
+        h = textkit.word_hashes(data, start, end, lower)
+        for k in range(i, j):
+            t = (texts[k] or "").encode()
+            want = re.findall(pattern, (t.lower() if lower else t).decode())
+            own = slice(bounds[k - i], bounds[k - i + 1])
+            got = [bytes(data[a:b]) for a, b in zip(start[own], end[own])]
+            assert [g.lower() if lower else g for g in got] == [w.encode() for w in want]
+            for w, x in zip(want, h[own]):
+                assert seen.setdefault(w, int(x)) == int(x)
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_grams_tell_runs_apart():
+    h = np.random.default_rng(0).integers(0, 3, 200).astype(np.uint64)
+    for k in (1, 2, 5, 10, 18, 50):
+        seen = {}
+        for i, x in enumerate(textkit.grams(h, k)):
+            assert seen.setdefault(tuple(h[i : i + k]), int(x)) == int(x)
+        assert len(set(seen.values())) == len(seen)
+
+
+# --- 1: SimHash ---------------------------------------------------------------------
+
+
+def test_fingerprints_and_components(spark):
+    texts = odd() + ["the cat ran over the dog and the dog ran over the cat " * 9 + f"w{k}" for k in range(12)]
+    texts += [" ".join(f"w{k}" for k in range(300)), " ".join(f"w{k}" for k in range(299)) + " other"]
+    got = by_id(simhash.near_duplicates(table(spark, texts), shard=16))
+    fps = []
+    for t in texts:
+        w = re.findall(WORD.encode(), (t or "").encode().lower())
+        sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    root = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{f:016x}", root[i]) for i, f in enumerate(fps)}
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_tree_loses_no_link(crowded):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**64, 2500, dtype=np.uint64)
+    for k in range(1200):
+        y = x[0] if crowded else x[1300 + k]
+        for bit in rng.integers(0, 10 if crowded else 64, rng.integers(0, 6 if crowded else 4)):
+            y ^= simhash._BITS[bit]
+        x[k] = y
+    x = np.unique(x)
+    at = {int(v): i for i, v in enumerate(x)}
+    want = union(len(x), [(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 2)])
+    tree = simhash.Tree(x, len(x), 128)
+    which, leaf, crowd = tree.route(x)
+    pairs = list(zip(*(c.tolist() for c in simhash._crowd(x[crowd]))))
+    pairs = [(at[int(x[crowd][i])], at[int(x[crowd][j])]) for i, j in pairs]
+    for k in range(tree.leaves):
+        a, b = simhash.shard_links(np.unique(x[which[leaf == k]]), small=64)
+        pairs += [(at[int(p)], at[int(q)]) for p, q in zip(a, b)]
+    assert union(len(x), pairs) == want
+
+
+def test_deduplicate_keeps_one_of_each(spark):
+    texts = odd()
+    got = simhash.deduplicate(table(spark, texts))
+    assert got.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+    groups = by_id(simhash.near_duplicates(table(spark, texts)))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted({r["component_id"] for r in groups.values()})
+
+
+# --- 2, 3, 4: models ----------------------------------------------------------------
+
+
+def test_machine_learns_pairs_that_no_weights_can():
+    rng = np.random.default_rng(1)
+    sets, label = [], []
+    for _ in range(800):
+        a, b = rng.random(2) < 0.5
+        sets.append(np.array(sorted({1} & {1 if a else 0} | ({2} if b else set()) | {int(x) for x in rng.integers(10, 40, 3)})))
+        label.append(int(a and b))
+    m = toxicity.fit(sets, np.array(label))
+    assert len(m.buckets) >= 2
+
+
+def test_toxicity(spark):
+    rnd = random.Random(2)
+    base = ["sun", "rain", "tree", "road", "cloud", "river", "stone", "field"]
+    texts, label = [], []
+    for k in range(400):
+        w = [rnd.choice(base) for _ in range(20)]
+        if k % 4 == 0:
+            w[rnd.randrange(20)] = "Grumbler!"
+        texts.append(" ".join(w))
+        label.append(int(k % 4 == 0))
+    docs = table(spark, texts + [None, ""])
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(label)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = by_id(toxicity.score(docs, model))
+    assert all((got[i]["predicted"] == 1) == bool(y) for i, y in enumerate(label))
+    assert 0 <= got[400]["score"] < 0.3 and got[400]["score"] == got[401]["score"]
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, y in enumerate(label) if not y} | {400, 401}
+    none = toxicity.train(docs, labels.limit(0))
+    assert by_id(toxicity.score(docs, none))[0]["predicted"] == 0
+
+
+def test_quality_counts(spark):
+    texts = odd() + ["# a | b\n# a | b\n\n\n \n \nx", "a b c d e a b c d e"]
+    got = by_id(quality.judge(table(spark, texts), quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))))
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = re.findall(WORD, t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(WORD, line):
+                dup += line in seen
+                seen.add(line)
+        c = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        rep = {x for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for x in range(k, k + 5)}
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(rep))
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(rep) > 20 * len(w)) and not (r["base_failed"] and r["kept"])
+
+
+def test_trees_learn_and_keep_constraints():
+    rng = np.random.default_rng(3)
+    x = rng.random((2000, 3))
+    y = ((x[:, 0] + 0.3 * np.sin(9 * x[:, 1]) + 0.1 * rng.standard_normal(2000)) > 0.6).astype(int)
+    forest = quality.fit(x, y, [1, 0, -1])
+    assert ((forest.scores(x) > 0.5) == y).mean() > 0.9
+    grid = np.linspace(0, 1, 60)
+    for _ in range(20):
+        p = np.tile(rng.random(3), (60, 1))
+        for f, sign in ((0, 1), (2, -1)):
+            q = p.copy()
+            q[:, f] = grid
+            assert (sign * np.diff(forest.raw(q)) >= -1e-9).all()
+    flat = forest.raw(x[:5])
+    for k in range(5):  # a walk by hand
+        total = forest.bias
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if x[k, forest.feature[node]] <= forest.limit[node] else forest.right[node]
+            total += forest.value[node]
+        assert abs(total - flat[k]) < 1e-9
+
+
+def test_language(spark):
+    rnd = random.Random(4)
+    parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "ein", "ß"], "cc": ["ción", "que", "ñ", "al"]}
+    texts, langs = [], []
+    for k in range(240):
+        name = rnd.choice(list(parts))
+        texts.append(" ".join("".join(rnd.choice(parts[name]) for _ in range(3)) for _ in range(25)))
+        langs.append(name if k % 10 else None)
+    truth = [next(n for n, p in parts.items() if any(x in t for x in p)) for t in texts]
+    docs = table(spark, texts + [None, "", "12 3.4 %"], lang=langs + ["aa", None, "bb"])
+    got = by_id(langid.identify(docs, langid.train(docs)))
+    assert sum(got[i]["lang_pred"] == t for i, t in enumerate(truth)) >= 0.97 * len(truth)
+    assert [got[240 + k]["lang_pred"] for k in range(3)] == ["und"] * 3 and all(0 <= r["score"] <= 1 for r in got.values())
+    empty = langid.train(docs.limit(0))
+    assert by_id(langid.identify(docs, empty))[0]["lang_pred"] == "und"
+
+
+def test_kernel_counts_common_grams():
+    texts = ["abcab", "bcx", ""]
+    (_, _, data, off), = textkit.chunks(pa.array(texts))
+    x = langid.presences(data, off)
+    grams = [{t[i : i + k] for k in range(1, 5) for i in range(len(t) - k + 1)} for t in texts]
+    assert [int(r.sum()) for r in x] == [len(g) for g in grams] and int((x[0] & x[1]).sum()) == len(grams[0] & grams[1])
+
+
+# --- 5: substrings ------------------------------------------------------------------
+
+
+def cut_brute(texts, window):
+    first = {}
+    split = [re.findall(WORD, t or "") for t in texts]
+    for i, w in enumerate(split):
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), i)
+    out = []
+    for i, w in enumerate(split):
+        gone = {x for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < i for x in range(k, k + window)}
+        out.append((len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+@pytest.mark.parametrize(("window", "anchor", "most"), [(12, 5, 256), (12, 5, 2), (50, 18, 256)])
+def test_repeated_passages(spark, window, anchor, most):
+    rnd = random.Random(window + most)
+    passages = [[f"p{j}.{k}" for k in range(window + rnd.randrange(12))] for j in range(3)] + [["tick", "tock"] * window]
+    texts = odd(3)
+    for _ in range(40):
+        w = [rnd.choice("abcdefgh") for _ in range(rnd.randrange(60))]
+        for _ in range(rnd.randrange(3)):
+            p = rnd.choice(passages)
+            at = rnd.randrange(len(w) + 1)
+            w[at:at] = p[rnd.randrange(4) : len(p) - rnd.randrange(4)]
+        texts.append(" ".join(w))
+    texts += texts[5:12]
+    got = by_id(substring.remove_repeats(table(spark, texts), window, anchor=anchor, most=most))
+    assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"]) for i in range(len(texts))] == cut_brute(texts, window)
+
+
+def test_automaton_knows_the_smallest_document():
+    rnd = random.Random(6)
+    docs = [[rnd.randrange(3) for _ in range(rnd.randrange(30))] for _ in range(12)]
+    a = substring.Automaton()
+    for d, w in enumerate(docs):
+        a.add(w, d)
+    a.finish()
+    for k in (1, 3, 5):
+        for w in docs:
+            want = [min(d for d, v in enumerate(docs) if any(v[j : j + k] == w[i : i + k] for j in range(len(v) - k + 1))) for i in range(len(w) - k + 1)]
+            assert a.smallest(w, k) == want
+
+
+# --- 6: lines -----------------------------------------------------------------------
+
+
+def test_line_matches(spark):
+    rnd = random.Random(7)
+    base = [[f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(4, 22))] for _ in range(15)]
+    texts = odd(8)
+    for _ in range(30):
+        own = []
+        for _ in range(rnd.randrange(6)):
+            w = list(rnd.choice(base))
+            for _ in range(rnd.randrange(3)):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(9)}"
+            rnd.shuffle(w)
+            own.append(" ".join(w))
+        texts.append("\n".join(own))
+    flat = [(i, k, frozenset(re.findall(WORD, line))) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n"))]
+    flat = [x for x in flat if len(x[2]) >= 5]
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    want = {(i, k): any(near(s, t) for j, m, t in flat if (j, m) < (i, k)) for i, k, s in flat}
+    docs = table(spark, texts)
+    rows = lines.verdicts(docs).collect()
+    assert {(r["doc_id"], r["line"]): r["removed"] for r in rows} == want
+    sets = {(i, k): s for i, k, s in flat}
+    for r in rows:
+        if r["removed"]:
+            assert (r["match_doc"], r["match_line"]) < (r["doc_id"], r["line"]) and near(sets[r["match_doc"], r["match_line"]], sets[r["doc_id"], r["line"]])
+    kept = by_id(lines.deduplicate(docs))
+    for i, t in enumerate(texts):
+        assert kept[i]["text"] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not want.get((i, k))))
+    assert lines.verdicts(docs.limit(0)).count() == 0
+
+
+# --- 7: personal data ---------------------------------------------------------------
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(s):
+    return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
+
+
+def spans_brute(t):
+    out = []
+    for kind, p in KINDS.items():
+        for m in re.finditer(p, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            if {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 16 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 8 <= len(digits) <= 15}[kind]():
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_personal_data(spark):
+    rnd = random.Random(9)
+    pieces = ["a.b@c.de", "x@y", "a@b.c_d@e.f", "q@w.e@r.t", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "007.01.2.3", "4539 1488 0343 6467", "4539-1488-0343-6467", "4111111111111112", "1", "12", "+1 (555) 010-9999", "+12", "+", "é😀", " ", "-", ".", "@", "call", "\n"]
+    texts = odd() + ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(12))) for _ in range(150)]
+    texts += ["9" * 60000, "1." * 30000, "a" * 60000 + "@", "+" + "5 " * 20000, "x@" * 3000]
+    got = by_id(pii.report(table(spark, texts)))
+    for i, t in enumerate(texts):
+        want = spans_brute(t or "")
+        r = got[i]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), (t or "")[:80]
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(s.startswith(k + ":") for s in want) for k in KINDS]
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in KINDS] == want
+
+
+def test_check_sums_and_context(spark):
+    texts = ["pay to IBAN DE89 3704 0044 0532 0130 00 now", "DE89 3704 0044 0532 0130 01", "my ssn is 123-45-6789", "code 123-45-6789"]
+    got = by_id(pii.report(table(spark, texts)))
+    assert [got[i]["spans"] for i in range(4)] == ["iban:12:39", "", "ssn:10:21", ""]
+    assert [r["text"] for r in pii.redact(table(spark, ["a@b.cd and 1.2.3.4", None])).orderBy("doc_id").collect()] == ["[email] and [ip]", None]
+
+
+# --- 8, 9: tokens -------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import tiktoken
+
+    lines_, pattern = bpe.vocabulary()
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(lines_), special_tokens={})
+
+
+def test_round_trip(spark, reference):
+    texts = odd() + ["it's we'll 'tis 'Re x's's  two   three\n\n\tend  ", "=" * 500, "ab" * 4000]
+    docs = table(spark, texts)
+    got = by_id(bpe.round_trip(docs))
+    for i, t in enumerate(texts):
+        ids = reference.encode_ordinary(t or "")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    back = by_id(bpe.decode(bpe.encode(docs)))
+    assert all(back[i]["text"] == (t or "") for i, t in enumerate(texts))
+
+
+def test_pieces_and_merges(reference):
+    lines_, pattern = bpe.vocabulary()
+    own = bpe.Codec(lines_, pattern)
+    rnd = random.Random(10)
+    texts = ["".join(rnd.choice("aAbé中😀 \n\t'1.sdtmrevl½  ") for _ in range(rnd.randrange(60))) for _ in range(600)]
+    for _, _, data, off in textkit.chunks(pa.array(texts), 4000):
+        ids, bounds = own.encode_chunk(data, off)
+        raw = data.tobytes()
+        for k in range(len(off) - 1):
+            t = raw[off[k] : off[k + 1]].decode()
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == reference.encode_ordinary(t)
+    other = bpe.Codec(lines_, pattern + r"|\d")  # any other pattern goes by regular expression
+    assert other.encode("it's  12 ok") == reference.encode_ordinary("it's  12 ok")
+    for _ in range(200):
+        piece = "".join(rnd.choice("abcdefst") for _ in range(rnd.randrange(1, 30))).encode()
+        assert list(own.transducer.stream(piece[k : k + 3] for k in range(0, len(piece), 3))) == bpe.merge(piece, own.transducer.ranks)
+
+
+def test_utf8_machine():
+    text = "aé中😀" * 9
+    raw = text.encode()
+    for size in (1, 2, 3, 5):
+        m = bpe.Utf8Machine()
+        assert "".join(m.feed(raw[k : k + size]) for k in range(0, len(raw), size)) + m.finish() == text
+    m = bpe.Utf8Machine()
+    assert m.feed(b"\xe4\xb8") == "" and m.finish() == "�"
+
+
+def test_histogram(spark, reference):
+    texts = odd()
+    n = sorted(len(reference.encode_ordinary(t or "")) for t in texts)
+    hist = tokencounts.histogram(tokencounts.lengths(table(spark, texts)))
+    rows = {r["n_tokens"]: r for r in hist.collect()}
+    assert set(rows) == set(n)
+    for x, r in rows.items():
+        assert (r["n_docs"], r["docs_longer"], r["tokens_up_to"], r["total_tokens"]) == (n.count(x), sum(y > x for y in n), sum(y for y in n if y <= x), sum(n))
+        assert r["truncated_tokens"] == sum(min(x, y) for y in n) and r["quantile"] == sum(y <= x for y in n) / len(n)
+    got = {r["limit"]: (r["truncated_tokens"], r["docs_cut"]) for r in tokencounts.at_limits(hist, [1, 7, 100000]).collect()}
+    assert got == {x: (sum(min(x, y) for y in n), sum(y > x for y in n)) for x in (1, 7, 100000)}
+    q = {r["share"]: r["n_tokens"] for r in tokencounts.quantiles(hist, [0.5, 1.0]).collect()}
+    assert q[1.0] == n[-1] and sum(y <= q[0.5] for y in n) >= len(n) / 2
+    assert tokencounts.histogram(tokencounts.lengths(table(spark, texts).limit(0))).count() == 0
+
+
+# --- 10: decontamination ------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_decontamination(spark, block):
+    rnd = random.Random(11)
+    items = [(str(k), " ".join(rnd.choice(["the", "of", "Cat", "dog.", f"w{rnd.randrange(40)}"]) for _ in range(rnd.choice([0, 1, 4, 12, 25])))) for k in range(9)] + [("n", None), (None, "the of")]
+    texts = odd()[:-1]
+    for k in range(10):
+        texts[10 + k] += "  " + items[k % 9][1].upper() + "\n"
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
+    docs, bench = table(spark, texts), spark.createDataFrame(items, "item_id string, text string")
+    got = by_id(decontam.report(docs, bench, block_bytes=block))
+    clean = {r["doc_id"] for r in decontam.decontaminate(docs, bench, block_bytes=block).collect()}
+    for i, t in enumerate(texts):
+        w = pattern.findall(low(t))
+        hit, names = set(), set()
+        for name, x in items:
+            v = pattern.findall(low(x)) if name is not None else []
+            m = min(10, len(v))
+            for s in range(len(v) - m + 1) if m else ():
+                for k in range(len(w) - m + 1):
+                    if w[k : k + m] == v[s : s + m]:
+                        hit.update(range(k, k + m))
+                        names.add(name)
+        r = got[i]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(names), bool(hit))
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest() and (i in clean) == (not hit)
+
+
+# --- all ----------------------------------------------------------------------------
+
+
+def test_empty_tables_and_null_ids(spark):
+    docs = table(spark, odd()).withColumn("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")))
+    docs = docs.unionByName(docs.limit(5))
+    bench = spark.createDataFrame([("1", "the of Cat")], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 0), (3, 0)], "doc_id long, toxic int")
+    for df in (docs, docs.limit(0)):
+        n = df.count()
+        runs = [simhash.near_duplicates(df), substring.remove_repeats(df), bpe.round_trip(df), decontam.report(df, bench), pii.report(df), langid.identify(df, langid.train(df)), quality.judge(df, quality.train(df, labels, "toxic")), toxicity.score(df, toxicity.train(df, labels)), lines.deduplicate(df), toxicity.drop_toxic(df, toxicity.train(df, labels))]
+        assert [r.count() for r in runs] == [n] * len(runs)
+        assert decontam.report(df, bench.limit(0)).where("contaminated").count() == 0
