@@ -171,7 +171,7 @@ def free_version(label: str, taken: Iterable[str], policy: str = "error") -> str
 
 def tags_of(cell: Column | str) -> Column:
     """Tags of a text divided by commas, semicolons or bars: trimmed, none empty, none twice."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(col(cell), F.lit("")), "[,;|]"), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(col(cell), F.lit("")), "[,;|]"), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def json_tags(cell: Column | str) -> Column:

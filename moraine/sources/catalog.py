@@ -121,7 +121,7 @@ class Catalog:
 def with_place(df: DataFrame) -> DataFrame:
     """shard_id (the number in the file's name), file and row_index of each row."""
     path = F.col("_metadata.file_path")
-    return df.select("*", F.regexp_extract(path, r"data-(\d+)\.parquet$", 1).cast("int").alias("shard_id"), F.regexp_extract(path, r"h11_(\d+)", 1).cast("int").alias("h11_of_path"), path.alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    return df.select("*", F.regexp_extract(path, r"data-(\d+)\.parquet$", 1).try_cast("int").alias("shard_id"), F.regexp_extract(path, r"h11_(\d+)", 1).try_cast("int").alias("h11_of_path"), path.alias("file"), F.col("_metadata.row_index").alias("row_index"))
 
 
 def rows_of_shard(df: DataFrame, shard_id: int, where=None, row: int | None = None) -> DataFrame:

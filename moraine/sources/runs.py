@@ -146,11 +146,13 @@ class SessionStore:
         gone = where_all(runs, exact(runs, filters))
         n = gone.count()
         if n:
-            left_runs, left_rows = anti(runs, gone, ["run_id"]), anti(self.rows, gone, ["run_id"])
-            for name, df, parts in (("runs", left_runs, []), ("rows", left_rows, ["run_id"])):
+            made = []
+            for name, df, parts in (("runs", anti(runs, gone, ["run_id"]), []), ("rows", anti(self.rows, gone, ["run_id"]), ["run_id"])):
                 temp = f"{self.root}/.{name}-{uuid.uuid4().hex}"
-                df.write.partitionBy(*parts).parquet(temp) if parts else df.write.parquet(temp)
-                swap_dirs(self.spark, temp, f"{self.root}/{name}")
+                (df.write.partitionBy(*parts) if parts else df.write).parquet(temp)
+                made.append((temp, f"{self.root}/{name}"))
+            for temp, old in made:  # nothing is read from the old folders any more
+                swap_dirs(self.spark, temp, old)
         return n
 
 

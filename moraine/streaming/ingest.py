@@ -14,7 +14,7 @@ from moraine.sources.shards import write_table
 
 def pending_stream(spark: SparkSession, path: str, max_files: int = 500) -> DataFrame:
     """Rows of shards as their files appear, so many files a batch."""
-    return spark.readStream.schema(PRODUCTION).option("maxFilesPerTrigger", max_files).parquet(path)
+    return spark.readStream.schema(PRODUCTION).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def ingest(stream: DataFrame, to: str, checkpoint: str, vet: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
