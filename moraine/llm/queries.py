@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moraine.llm.oracles import ORACLES
 from moraine.llm.textkit import remainder, table
 
 
@@ -72,7 +73,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moraine.llm.decontam import report
 
-    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
