@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from moraine.llm.textkit import batch, chunks, ids_and_text, word_hashes
 
 #: Bounds of a worker's memory: pieces, transducer states and pairs of tokens that it remembers.
-MOST_PIECES, MOST_STATES, MOST_PAIRS = 300_000, 200_000, 500_000
+MOST_PIECES, MOST_STATES, MOST_PAIRS = 120_000, 120_000, 300_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -78,11 +78,9 @@ class Transducer:
             if len(t) == 1 or len(merge(t, ranks)) == 1:
                 self.token_at[node] = i
         self.pairs: dict[int, bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
         self.number: dict[tuple, int] = {(-1,): 0}
-        self.state: list[tuple] = [(-1,)]  # (last token of the prefix, then (node, token before) of each live start)
+        #: Last token of the prefix, then each live start as node << 20 | token before it + 1.
+        self.state: list[tuple] = [(-1,)]
         self.last: list[int] = [-1]
         self.moves: dict[int, int] = {}
 
@@ -127,47 +125,49 @@ class Transducer:
             else:
                 limit, b = b + 1, self.split(b)[0]
 
-    def _move(self, state: int, byte: int) -> int:
-        held = self.state[state]
-        live, last, before = [], -1, held[0]
-        for node, since in (*held[1:], (0, before)):  # the prefix so far is itself a start
-            to = self.trie.get(node << 8 | byte)
+    def _next(self, held: tuple, byte: int) -> tuple:
+        """The state after a byte: the subset construction for one state and byte."""
+        trie, token_at, live, last = self.trie, self.token_at, [], -1
+        for start in (*held[1:], held[0] + 1):  # the prefix so far is itself a start
+            to = trie.get(start >> 20 << 8 | byte)
             if to is not None:
-                live.append((to, since))
-                if last < 0 and (token := self.token_at[to]) >= 0 and (since < 0 or self.fits(since, token)):
+                since = start & 0xFFFFF
+                live.append(to << 20 | since)
+                if last < 0 and (token := token_at[to]) >= 0 and (not since or self.fits(since - 1, token)):
                     last = token
         if last < 0:
             raise ValueError("the ranks are not those of byte pair merges")
-        key = (last, *live)
-        to = self.number.get(key)
-        if to is None:
+        return (last, *live)
+
+    def _step(self, state: int, held: tuple | None, byte: int) -> tuple[int, tuple]:
+        """(number, state) after a byte that is not in the table.
+
+        States are numbered until the table is full; those met later have number -1 and are
+        worked out anew each time.
+        """
+        key = self._next(self.state[state] if state >= 0 else held, byte)
+        to = self.number.get(key, -1)
+        if to < 0 and len(self.state) < MOST_STATES:
             to = self.number[key] = len(self.state)
             self.state.append(key)
-            self.last.append(last)
-        self.moves[state << 8 | byte] = to
-        return to
-
-    def _step(self, state: int, byte: int) -> int:
-        """A move that is not in the table; a full table is started anew from here."""
-        if len(self.state) >= MOST_STATES:
-            held = self.state[state]
-            self._forget()
-            if held != (-1,):
-                self.number[held] = 1
-                self.state.append(held)
-                self.last.append(held[0])
-            state = self.number[held]
-        return self._move(state, byte)
+            self.last.append(key[0])
+        if state >= 0 and to >= 0:
+            self.moves[state << 8 | byte] = to
+        return to, key
 
     def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
         """The ids of one piece that arrives in blocks, each as soon as it is certain."""
-        state, wait = 0, 4 * self.longest
+        state, held, wait = 0, None, 4 * self.longest
         ends: list[int] = []  # the last token of each prefix beyond what is emitted
         for block in blocks:
             for byte in block:
-                to = self.moves.get(state << 8 | byte)
-                state = self._step(state, byte) if to is None else to
-                ends.append(self.last[state])
+                to = self.moves.get(state << 8 | byte) if state >= 0 else None
+                if to is None:
+                    state, held = self._step(state, held, byte)
+                    ends.append(held[0])
+                else:
+                    state = to
+                    ends.append(self.last[to])
                 if len(ends) >= wait:
                     tokens = self._certain(ends)
                     yield from tokens
@@ -199,14 +199,15 @@ class Transducer:
             return [whole]
         if len(piece) > 4 * self.longest:
             return list(self.stream((piece,)))
-        state, moves, last, ends = 0, self.moves, self.last, []
+        state, held, moves, last, ends = 0, None, self.moves, self.last, []
         for byte in piece:
-            to = moves.get(state << 8 | byte)
+            to = moves.get(state << 8 | byte) if state >= 0 else None
             if to is None:
-                to = self._step(state, byte)
-                moves, last = self.moves, self.last
-            state = to
-            ends.append(last[to])
+                state, held = self._step(state, held, byte)
+                ends.append(held[0])
+            else:
+                state = to
+                ends.append(last[to])
         return self._back(len(ends), ends)
 
 
@@ -297,7 +298,9 @@ class Codec:
     def __init__(self, lines: bytes, pattern: str) -> None:
         self.transducer = Transducer(load_ranks(lines))
         self.pattern = None if pattern == COMMON_PATTERN else regex.compile(pattern)
+        #: Pieces used lately, and those used before them: a full set ousts the older one.
         self.pieces: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         top = max(self.transducer.bytes_of) + 1
         self.raw, self.raw_at = _rows([self.transducer.bytes_of.get(i, b"") for i in range(top)])
         self.decimal, self.decimal_at = _rows([b"%d," % i for i in range(top)])
@@ -306,10 +309,12 @@ class Codec:
     def _ids_of(self, piece: bytes) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = np.array(self.transducer.encode_piece(piece), "<u4").tobytes()
+            got = self.older.get(piece)
+            if got is None:
+                got = np.array(self.transducer.encode_piece(piece), "<u4").tobytes()
             if len(piece) <= LONG_PIECE:
                 if len(self.pieces) >= MOST_PIECES:
-                    self.pieces.clear()
+                    self.older, self.pieces = self.pieces, {}
                 self.pieces[piece] = got
         return got
 
@@ -404,7 +409,7 @@ def over_texts(docs: DataFrame, what: Callable, schema: str, path: str | None, p
     def run(batches):
         own = codec(ranks.value, pattern)
         for b in batches:
-            for i, j, data, off in chunks(b.column(1)):
+            for i, j, data, off in chunks(b.column(1), 1 << 20):
                 ids, bounds = own.encode_chunk(data, off)
                 rows = [what(own, ids[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield batch(out, [b.column(0).slice(i, j - i), *zip(*rows, strict=True)])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from moraine.llm.bpe import over_texts
+from moraine.llm.textkit import cut
 
 #: Lengths are summed within runs of this many, then over the runs, so no window spans all rows.
 RUN = 1024
@@ -30,7 +31,8 @@ def histogram(counted: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     every document is cut after n_tokens), lost_tokens, quantile (the share of documents of
     at most this length).  Null lengths count as 0.  An empty table gives no rows.
     """
-    h = counted.groupBy(F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    # a row for each length, written once: the plan below reads it twice, and texts must be encoded once
+    h = cut(counted.groupBy(F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs")))
     h = h.withColumns({"run": F.floor(F.col("n_tokens") / RUN), "tokens": F.col("n_tokens") * F.col("n_docs")})
     inside = Window.partitionBy("run").orderBy("n_tokens")
     h = h.withColumns({"d": F.sum("n_docs").over(inside), "t": F.sum("tokens").over(inside)})
