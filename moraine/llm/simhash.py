@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm.components import components
-from moraine.llm.textkit import U64, batch, cut, ids_and_text, text_bytes
+from moraine.llm.textkit import U64, batch, cut, ids_and_text, text_bytes, thinned
 
 RADIUS = 2
 #: Distinct fingerprints that the driver sees to lay out the upper tree.
-SAMPLE = 1 << 17
+SAMPLE = 1 << 16
 #: Fingerprints aimed at in a shard, and the most shards.
 SHARD, MOST_SHARDS = 1024, 1 << 14
 #: Fingerprints that are compared each with each.
@@ -210,7 +210,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard
     """
     spark = distinct.sparkSession
     total = distinct.count()
-    seen = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64)
+    seen = np.sort(thinned(distinct.select("fp"), sample, "fp").toPandas()["fp"].to_numpy(np.int64))
     tree = spark.sparkContext.broadcast(Tree(seen.view(U64), total, shard, most_shards, radius))  # some MB at most
     routed = pa.schema([("leaf", pa.int32()), ("fp", pa.int64()), ("mid", pa.int64())])
 
