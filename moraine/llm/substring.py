@@ -33,7 +33,7 @@ WINDOW, ANCHOR = 50, 18
 #: Segments of an anchor beyond which its windows are resolved by sums.
 MOST = 256
 #: Words of the segments that one automaton holds.
-SHARD_WORDS = 20_000
+SHARD_WORDS = 10_000
 
 
 def sliding(x: np.ndarray, k: int, least: bool) -> np.ndarray:
@@ -259,11 +259,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: i
 
     def explode(batches):
         out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int32()), ("hash", pa.int64())])
-        for b in batches:
-            for k in range(b.num_rows):
-                w = grams(np.frombuffer(b.column(4)[k].as_py(), U64), window).view(np.int64)
-                m = len(w)
-                yield batch(out, [np.full(m, b.column(0)[k].as_py()), np.full(m, b.column(1)[k].as_py()), np.arange(m, dtype=np.int32) + b.column(2)[k].as_py(), w])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                w = [grams(np.frombuffer(x.as_py(), U64), window).view(np.int64) for x in b.column(4)]
+                size = np.array([len(x) for x in w])
+                place = np.concatenate([np.arange(m, dtype=np.int32) for m in size])
+                yield batch(out, [np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size), place + np.repeat(b.column(2).to_numpy(), size), np.concatenate(w)])
 
     many = got.where(F.col("different") > most).select("doc_id", "key", "begin", "anchor", "words")
     windows = many.mapInArrow(explode, "doc_id long, key long, begin int, hash long")

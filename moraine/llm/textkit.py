@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BLOCK = 1 << 16
 _GIANT = 1 << 12
 U64 = np.uint64
