@@ -57,7 +57,7 @@ def mod97(iban: Column) -> Column:
 def _confirmed(kind: str, x: Column) -> Column:
     found = x["found"]
     if kind == "ip":  # parts at most 255, leading zeros apart
-        return found.rlike(r"^(?:0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$")
+        return found.rlike(r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$")
     if kind == "card":
         return F.length(_digits(found)).between(16, 19) & luhn(_digits(found))
     if kind == "phone":

@@ -346,6 +346,14 @@ def test_check_sums_and_context(spark):
     assert [r["text"] for r in pii.redact(table(spark, ["a@b.cd and 1.2.3.4", None])).orderBy("doc_id").collect()] == ["[email] and [ip]", None]
 
 
+def test_addresses_with_parts_of_zeros(spark):
+    good, bad = ["127.0.0.1", "10.0.0.1", "192.168.0.12", "0.0.0.0", "1.2.3.00", "000.0.01.0255"], ["256.0.0.1", "0.0.0.0256", "0300.0.0.1"]
+    got = by_id(pii.report(table(spark, [f"at {x} now" for x in good + bad])))
+    assert [got[i]["n_ip"] for i in range(len(good + bad))] == [1] * len(good) + [0] * len(bad)
+    assert [got[i]["spans"] for i in range(len(good))] == [f"ip:3:{3 + len(x)}" for x in good]
+    assert {r["text"] for r in pii.redact(table(spark, good)).collect()} == {"[ip]"}
+
+
 # --- 8, 9: tokens -------------------------------------------------------------------
 
 
