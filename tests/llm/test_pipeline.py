@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -23,6 +24,32 @@ def test_stages_in_turn(spark):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_near_copies_go(spark):
+    rnd = random.Random(3)
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    texts = ["", " ", None, "a b", "A  b", "one two three four five six"]
+    for _ in range(12):
+        base = [f"w{rnd.randrange(300)}" for _ in range(rnd.choice([40, 90, 200]))]
+        for k in range(6):  # single words changed, some more often than a match allows
+            own = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, 3, 4]) if k else 0):
+                own[rnd.randrange(len(own))] = f"x{rnd.randrange(1000)}"
+            texts.append(" ".join(own))
+    rnd.shuffle(texts)
+    sets = [grams(t or "") for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if near(sets[i], sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, SF).collect()) == sorted(set(root))
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_names():
     names = list(queries())
     assert [next(n for n in names if n.startswith(f"op{k}_")) for k in range(1, 11)] and "pipeline" in names
