@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from moraine.llm import bpe, decontam, langid, lines, pii, quality, simhash, substring, textkit, tokencounts, toxicity
+import corpus_pipeline
+from moraine.llm import bpe, decontam, langid, lines, pii, quality, queries, simhash, substring, textkit, tokencounts, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, words string, spans string, label int"
@@ -306,6 +307,20 @@ def test_line_matches(spark):
     assert lines.verdicts(docs.limit(0)).count() == 0
 
 
+def test_lines_of_few_words(spark, tmp_path):
+    rnd = random.Random(11)
+    texts = ["\n".join(" ".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(7))) for _ in range(8)) for _ in range(12)] + ["a b c d\na b c d e", "x\ny\nx", None]
+    flat = [(i, k, frozenset(line.split())) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n")) if line.split()]
+    want = {(i, k): any(len(s & t) / len(s | t) >= 0.8 for j, m, t in flat if (j, m) < (i, k)) for i, k, s in flat}
+    docs = table(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op6_lines(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["line"]): r["removed"] for r in rows} == want
+    kept = by_id(dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, str(tmp_path)))
+    for i, t in enumerate(texts):
+        assert kept[i]["text"] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not want.get((i, k))))
+
+
 # --- 7: personal data ---------------------------------------------------------------
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
