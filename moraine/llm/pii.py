@@ -72,13 +72,14 @@ def spans(text: Column, kind: str) -> Column:
     pattern, must, _, _, _ = KINDS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
+        near = F.right(F.concat(acc["tail"], x["gap"]), F.lit(NEAR))  # what stands before, other matches included
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["found"])
-        one = F.struct(begin.alias("begin"), end.alias("end"), x["found"].alias("found"), F.right(x["gap"], F.lit(NEAR)).alias("near"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        one = F.struct(begin.alias("begin"), end.alias("end"), x["found"].alias("found"), near.alias("near"))
+        return F.struct(end.alias("at"), F.right(F.concat(near, x["found"]), F.lit(NEAR)).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("found"))
     placed = F.aggregate(pairs, start, add, lambda acc: acc["out"])

@@ -369,6 +369,14 @@ def test_addresses_with_parts_of_zeros(spark):
     assert {r["text"] for r in pii.redact(table(spark, good)).collect()} == {"[ip]"}
 
 
+def test_context_reaches_over_other_matches(spark):
+    texts = ["social security numbers: 123-45-6789, 234-56-7890", "ssn 123-45-6789" + " " * 30 + "234-56-7890", "é😀 ssn: 123-45-6789 234-56-7890 345-67-8901 456-78-9012"]
+    got = by_id(pii.report(table(spark, texts)))
+    want = [[f"ssn:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t) if re.search("ssn|social|security", t[max(0, m.start() - 40) : m.start()])] for t in texts]
+    assert [r.split(",") for r in (got[i]["spans"] for i in range(3))] == want and [len(w) for w in want] == [2, 1, 3]
+    assert by_id(pii.redact(table(spark, texts[:1])))[0]["text"] == "social security numbers: [ssn], [ssn]"
+
+
 # --- 8, 9: tokens -------------------------------------------------------------------
 
 
