@@ -49,7 +49,7 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moraine.llm.lines import verdicts
 
-    return verdicts(table(spark, sf_dir, "documents"), least=1)
+    return verdicts(table(spark, sf_dir, "documents")).drop("match_doc", "match_line")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

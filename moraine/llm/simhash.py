@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moraine.llm import similar
 from moraine.llm.components import components
-from moraine.llm.textkit import U64, batch, cut, ids_and_text, text_bytes, thinned
+from moraine.llm.textkit import U64, batch, bounded, cut, ids_and_text, text_bytes, thinned
 
 RADIUS = 2
 #: Distinct fingerprints that the driver sees to lay out the upper tree.
@@ -275,10 +276,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return fps.join(known, fps["fp"] == known["known_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", **tree) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", **tree) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, all columns kept.
 
-    Rows without an id stay.  Of repeated rows with one id all stay or all go.
+    Documents are linked if the Jaccard similarity of their shingles is ``similarity`` or more
+    (by ``similar``, as no radius of a vantage-point tree holds for that), or with None if
+    their fingerprints lie within ``radius`` bits.  Rows without an id stay.  Of repeated rows
+    with one id all stay or all go.
     """
-    gone = near_duplicates(docs, shingle, radius, id_col, text_col, **tree).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    if similarity is None:
+        found = near_duplicates(docs, shingle, radius, id_col, text_col, **tree)
+    else:
+        found = similar.near_duplicates(docs, shingle, similarity, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(bounded(gone, 16), docs[id_col].cast("long") == F.col("gone_id"), "left_anti")

@@ -7,8 +7,12 @@ in chunks of about ``CHUNK`` bytes, so that memory follows the chunk, not the ba
 
 from __future__ import annotations
 
+import atexit
+import gc
 import hashlib
+import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +27,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.  It is read from the session and set to a
-    temporary folder only where the session has none, as in tests."""
+    """The folder that all executors share, ``spark.checkpoint.dir`` of the session.
+
+    Only a session in one process, as in tests, gets a temporary folder where it names none;
+    on a cluster that is an error, as executors would not see each other's files.
+    """
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir", None)
     if told:
@@ -32,7 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(told)
         return told
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="moraine-"))
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="moraine-")
+        atexit.register(shutil.rmtree, made, True)
+        sc.setCheckpointDir(made)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -42,6 +53,71 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files and checkpoints that nothing refers to any more.
+
+    Spark removes them when the driver collects its garbage, which may come long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Scratch:
+    """Tables that an operator keeps in the shared folder while it works.
+
+    ``put`` writes a table as Parquet and reads it again; leaving the block deletes all.  What
+    an operator returns must be ``cut`` before that.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.count = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{self.count}"
+        self.count += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = [path]
+        return out
+
+    def both(self, parts: list[DataFrame]) -> DataFrame:
+        """One table of several that ``put`` made."""
+        paths = [x for p in parts for x in p._scratch]
+        out = self.spark.read.schema(parts[0].schema).parquet(*paths)
+        out._scratch = paths
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in (x for t in tables for x in t._scratch):
+            delete(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.base)
+        release(self.spark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, in whatever file system it is."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bytes of a table that is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame, width: int, *arrays: str) -> DataFrame:
+    """A table that is broadcast if its bytes, ``width`` a row and 16 an entry of its arrays, are few."""
+    size = F.count("*") * F.lit(width)
+    for a in arrays:
+        size = size + F.lit(16) * F.coalesce(F.sum(F.size(a)), F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

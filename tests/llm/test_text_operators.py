@@ -120,7 +120,7 @@ def test_tree_loses_no_link(crowded):
 
 def test_deduplicate_keeps_one_of_each(spark):
     texts = odd()
-    got = simhash.deduplicate(table(spark, texts))
+    got = simhash.deduplicate(table(spark, texts), 3, None)
     assert got.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
     groups = by_id(simhash.near_duplicates(table(spark, texts)))
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({r["component_id"] for r in groups.values()})
@@ -277,48 +277,90 @@ def test_automaton_knows_the_smallest_document():
 # --- 6: lines -----------------------------------------------------------------------
 
 
-def test_line_matches(spark):
-    rnd = random.Random(7)
-    base = [[f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(4, 22))] for _ in range(15)]
-    texts = odd(8)
-    for _ in range(30):
+def lines_brute(rows):
+    """(doc, line) -> (words, first line of its set, lines of its set, removed) for rows of different ids."""
+    flat = [(i, k, frozenset(re.findall(WORD, line))) for i, t in sorted((i, t or "") for i, t in rows) for k, line in enumerate(t.split("\n"))]
+    flat = [x for x in flat if x[2]]
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    first, times = {}, collections.Counter(s for _, _, s in flat)
+    for i, k, s in flat:
+        first.setdefault(s, (i, k))
+    return {(i, k): (len(s), *first[s], times[s], any(near(s, t) for t, at in first.items() if at < (i, k))) for i, k, s in flat}, {(i, k): s for i, k, s in flat}
+
+
+def without(text, i, want):
+    return None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if not want.get((i, k), [False])[-1])
+
+
+def families(rnd, longest):
+    """Lines with up to a few words changed, some of which are common to all."""
+    base = [[f"w{rnd.randrange(60)}" if rnd.random() < 0.7 else f"r{rnd.randrange(10**6)}" for _ in range(rnd.randrange(4, longest))] for _ in range(15)]
+    texts = []
+    for _ in range(60):
         own = []
-        for _ in range(rnd.randrange(6)):
+        for _ in range(rnd.randrange(8)):
             w = list(rnd.choice(base))
-            for _ in range(rnd.randrange(3)):
+            for _ in range(rnd.randrange(max(2, len(w) // 5))):
                 w[rnd.randrange(len(w))] = f"x{rnd.randrange(9)}"
             rnd.shuffle(w)
-            own.append(" ".join(w))
+            own.append(rnd.choice([" ", "\t", " \x0b\r"]).join(w))
         texts.append("\n".join(own))
-    flat = [(i, k, frozenset(re.findall(WORD, line))) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n"))]
-    flat = [x for x in flat if len(x[2]) >= 5]
-    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
-    want = {(i, k): any(near(s, t) for j, m, t in flat if (j, m) < (i, k)) for i, k, s in flat}
+    return texts
+
+
+@pytest.mark.parametrize(("seed", "longest"), [(7, 12), (8, 40), (9, 200)])
+def test_line_matches(spark, seed, longest):
+    texts = odd(8) + families(random.Random(seed), longest)
+    want, sets = lines_brute(enumerate(texts))
     docs = table(spark, texts)
     rows = lines.verdicts(docs).collect()
-    assert {(r["doc_id"], r["line"]): r["removed"] for r in rows} == want
-    sets = {(i, k): s for i, k, s in flat}
+    assert {(r["doc_id"], r["line"]): (r["n_words"], r["first_doc"], r["first_line"], r["n_copies"], r["removed"]) for r in rows} == want
+    assert sum(x[-1] and x[3] == 1 for x in want.values()) > 20  # matches that are not copies
     for r in rows:
-        if r["removed"]:
-            assert (r["match_doc"], r["match_line"]) < (r["doc_id"], r["line"]) and near(sets[r["match_doc"], r["match_line"]], sets[r["doc_id"], r["line"]])
+        at, to = (r["doc_id"], r["line"]), (r["match_doc"], r["match_line"])
+        assert to == (None, None) if not r["removed"] else to < at and len(sets[at] & sets[to]) / len(sets[at] | sets[to]) >= 0.8
     kept = by_id(lines.deduplicate(docs))
-    for i, t in enumerate(texts):
-        assert kept[i]["text"] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not want.get((i, k))))
+    assert [kept[i]["text"] for i in range(len(texts))] == [without(t, i, want) for i, t in enumerate(texts)]
+    assert lines.deduplicate(docs).columns == docs.columns
     assert lines.verdicts(docs.limit(0)).count() == 0
 
 
 def test_lines_of_few_words(spark, tmp_path):
     rnd = random.Random(11)
     texts = ["\n".join(" ".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(7))) for _ in range(8)) for _ in range(12)] + ["a b c d\na b c d e", "x\ny\nx", None]
-    flat = [(i, k, frozenset(line.split())) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n")) if line.split()]
-    want = {(i, k): any(len(s & t) / len(s | t) >= 0.8 for j, m, t in flat if (j, m) < (i, k)) for i, k, s in flat}
+    want, _ = lines_brute(enumerate(texts))
     docs = table(spark, texts)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     rows = queries.op6_lines(spark, str(tmp_path)).collect()
-    assert {(r["doc_id"], r["line"]): r["removed"] for r in rows} == want
+    assert {(r["doc_id"], r["line"]): (r["n_words"], r["first_doc"], r["first_line"], r["n_copies"], r["removed"]) for r in rows} == want
     kept = by_id(dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, str(tmp_path)))
-    for i, t in enumerate(texts):
-        assert kept[i]["text"] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not want.get((i, k))))
+    assert [kept[i]["text"] for i in range(len(texts))] == [without(t, i, want) for i, t in enumerate(texts)]
+
+
+def test_lines_of_rows_with_one_id(spark):
+    """Rows of one id are documents of their own unless their texts are equal."""
+    texts = ["a b c d e", "a b c d e\nkept one two three", "unique u v w x y z\nkept one two three", "unique u v w x y z\nkept one two three"]
+    docs = table(spark, texts, [1, 5, 5, 5])
+    kept = sorted(r["text"] for r in lines.deduplicate(docs).collect())
+    assert kept in (["a b c d e", "kept one two three", "unique u v w x y z", "unique u v w x y z"], ["", "a b c d e", *["unique u v w x y z\nkept one two three"] * 2])
+    assert lines.verdicts(docs).count() == 7
+
+
+def test_very_long_lines(spark):
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(30000)]
+    near = [w if rnd.random() < 0.95 else f"x{k}" for k, w in enumerate(base)]
+    far = [w if rnd.random() < 0.7 else f"y{k}" for k, w in enumerate(base)]
+    rows = lines.verdicts(table(spark, [" ".join(base), "a", " ".join(near), " ".join(far)])).collect()
+    assert {r["doc_id"]: r["removed"] for r in rows} == {0: False, 1: False, 2: True, 3: False}
+
+
+def test_lines_many_meet(spark):
+    """A group whose lines all share their rare words, most of them below the threshold."""
+    rnd = random.Random(5)
+    texts = [" ".join([f"common{k}" for k in range(12)] + [f"u{rnd.randrange(10**9)}" for _ in range(rnd.choice([2, 3, 4]))]) for _ in range(300)]
+    want, _ = lines_brute(enumerate(texts))
+    assert {(r["doc_id"], r["line"]): r["removed"] for r in lines.verdicts(table(spark, texts)).collect()} == {k: x[-1] for k, x in want.items()}
 
 
 # --- 7: personal data ---------------------------------------------------------------
