@@ -58,6 +58,8 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the vocabulary must hold every single byte")
+        if max(ranks.values()) + 1 >= 1 << 20:
+            raise ValueError("a start and a token share an integer that holds ranks below 2 ** 20 - 1 only")
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.size_of = {i: len(t) for t, i in ranks.items()}
@@ -321,7 +323,7 @@ class Codec:
     def encode_chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of document k of a chunk of UTF-8 are ids[bounds[k]:bounds[k + 1]].
 
-        Equal pieces of a chunk are found by their hash and encoded once.
+        Equal pieces of a chunk are found by their hash, compared by their bytes and encoded once.
         """
         heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # first bytes of characters
         text = data.tobytes().decode("utf-8", "surrogatepass")
@@ -335,7 +337,11 @@ class Codec:
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         _, pick, which = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
-        raw = data.tobytes()
+        raw, sizes = data.tobytes(), end - begin
+        if (sizes[pick][which] != sizes).any() or (_gather(data, begin, sizes, np.arange(len(begin))) != _gather(data, begin[pick], sizes[pick], which)).any():
+            number: dict[bytes, int] = {}  # two pieces of one hash
+            which = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+            pick = np.unique(which, return_index=True)[1]
         got = [self._ids_of(raw[a:b]) for a, b in zip(begin[pick].tolist(), end[pick].tolist(), strict=True)]
         size = np.fromiter(map(len, got), np.int64, len(got)) // 4
         ids = _gather(np.frombuffer(b"".join(got), "<u4"), np.cumsum(size) - size, size, which)

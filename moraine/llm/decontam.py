@@ -153,6 +153,11 @@ FOUND = "doc_id long, n_words long, spans array<struct<begin:long,end:long>>, it
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
 
 
+#: The same between two passes, which needs the text again.
+PASSED = FOUND.replace("doc_id long, ", "doc_id long, text string, ")
+_PASSED = pa.schema([_FOUND.field(0), ("text", pa.string()), *(_FOUND.field(k) for k in range(1, len(_FOUND)))])
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> tuple[DataFrame, int]:
     items = benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
@@ -162,18 +167,18 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> tupl
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, maximal spans of hit words, the items hit and the longest verbatim match in words.
 
-    One row per document; a null text has no words.  Items that are null, or have no words,
-    match nothing.  Repeated documents give a row each; with a benchmark of several blocks,
-    rows of equal id and text are one.
+    One row per row of ``docs``, repeated ones included; a null text has no words.  Items that
+    are null, or have no words, match nothing.  A benchmark of several blocks is one pass for
+    each, which adds to what the passes before it found; no row leaves its place.
     """
     items, n = _blocks(benchmark, item_col, item_text_col, block_bytes)
     spark, source = docs.sparkSession, ids_and_text(docs, id_col, text_col)
-    parts = []
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
         rows = spark.sparkContext.broadcast([(r[0], r[1]) for r in own.toLocalIterator()])  # block_bytes at most
+        last = k == n - 1
 
-        def run(batches, rows=rows):
+        def run(batches, rows=rows, first=k == 0, last=last):
             tests = None
             for b in batches:
                 tests = tests or TestSuffixes(rows.value, window)
@@ -184,32 +189,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
                         by_doc[d].append((s - int(bounds[d]), t))
                     out = []
                     for d in range(j - i):
-                        spans = _report([(s, s + int(tests.size[t])) for s, t in by_doc[d]])[1] if d in by_doc else []
-                        names = sorted({x for _, t in by_doc.get(d, ()) for x, _ in tests.places[t]})
-                        out.append(([{"begin": a, "end": e} for a, e in spans], names, _longest(by_doc.get(d, ()), tests)))
+                        before = ([], [], 0) if first else ([(x["begin"], x["end"]) for x in b.column(3)[i + d].as_py()], b.column(4)[i + d].as_py(), b.column(5)[i + d].as_py())
+                        spans = _report([*before[0], *((s, s + int(tests.size[t])) for s, t in by_doc.get(d, ()))])[1]
+                        names = sorted({*before[1], *(x for _, t in by_doc.get(d, ()) for x, _ in tests.places[t])})
+                        out.append(([{"begin": a, "end": e} for a, e in spans], names, max(before[2], _longest(by_doc.get(d, ()), tests))))
                     spans, names, longest = zip(*out, strict=True)
-                    yield batch(_FOUND, [b.column(0).slice(i, j - i), np.diff(bounds), list(spans), list(names), list(longest)])
-
-        parts.append((source if n == 1 else source.withColumn("key", F.xxhash64("text"))).select("doc_id", "text").mapInArrow(run, FOUND))
-    if n == 1:
-        return parts[0]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    whole = whole.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-    return whole.withColumn("spans", _union_spans("spans"))
-
+                    found = [np.diff(bounds), list(spans), list(names), list(longest)]
+                    text = [] if last else [b.column(1).slice(i, j - i)]
+                    yield batch(_FOUND if last else _PASSED, [b.column(0).slice(i, j - i), *text, *found])
 
-def _union_spans(col: str):
-    """Maximal spans of an array of spans."""
-    empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-
-    def add(acc, x):
-        touches = (F.size(acc) > 0) & (x["begin"] <= F.try_element_at(acc, F.lit(-1))["end"])
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["begin"].alias("begin"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"))))
-        return F.when(touches, grown).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(col), empty, add)
+        source = source.mapInArrow(run, FOUND if last else PASSED)
+    return source
 
 
 def _longest(hits, tests: TestSuffixes) -> int:
@@ -222,10 +212,17 @@ def _longest(hits, tests: TestSuffixes) -> int:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **columns) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match for every document."""
+    """A row for every row of ``docs``: how much of it stands in the benchmark, and where.
+
+    doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words of the
+    longest run that a text and one item share) and places (begin:end of the maximal runs of
+    hit words, comma-joined, ends exclusive).  Null and empty texts have no words and are
+    clean, as is every text if the benchmark is empty.
+    """
     found = matches(docs, benchmark, window, **columns)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["begin"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("longest").alias("longest_match"))
+    places = F.transform("spans", lambda x: F.concat_ws(":", x["begin"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("longest").alias("longest_match"), F.concat_ws(",", places).alias("places"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -5,13 +5,13 @@ words in it with the least hash (the first of equals).  Equal windows have equal
 equal places, so windows are only compared where their anchors are equal.  The windows of
 one anchor overlap and are kept as one segment of text.
 
-Equal segments are merged before anything is compared: in all documents but the smallest
-every window of a repeated segment is a repeat.  What is left, segments of one anchor with
-different surroundings, is dealt out by anchor into shards of bounded size.  A shard's
-suffix automaton holds, for every substring, the smallest document that has it; its segments
-are streamed through for matching statistics, and a window whose match began in a smaller
-document is removed.  The automata are built where their shard is instead of being sent to
-every executor, because the reference grows with the corpus and has no bound.
+Segments whose anchor stands nowhere else are left out, and equal segments are merged: one
+stands for all.  The rest is dealt out by anchor into shards of bounded size.  A shard's
+suffix automaton holds, for every substring, the smallest document that has it; the segments
+of the shard are streamed through for matching statistics, which give the smallest document
+of every window, and a window is removed from all documents larger than that.  The automata
+are built where their shard is instead of being sent to every executor, because the
+reference grows with the corpus and has no bound.
 
 An anchor with more than ``MOST`` different segments would make a shard of any size.  Its
 windows are resolved exactly by the smallest document of each window, summed before the
@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import U64, batch, chunks, cut, doc_of, grams, ids_and_text, word_hashes, words
+from moraine.llm.textkit import U64, Scratch, batch, bounded, chunks, cut, doc_of, grams, ids_and_text, release, word_hashes, words
 
 WINDOW, ANCHOR = 50, 18
 #: Segments of an anchor beyond which its windows are resolved by sums.
 MOST = 256
 #: Words of the segments that one automaton holds.
 SHARD_WORDS = 10_000
+#: Parts of the segments that are shuffled one after another.
+SLICES = 2
 
 
 def sliding(x: np.ndarray, k: int, least: bool) -> np.ndarray:
@@ -168,19 +170,17 @@ class Automaton:
         return out
 
 
-def _runs(flags: list[bool]) -> list[tuple[int, int]]:
-    out, start = [], None
-    for k, f in enumerate([*flags, False]):
-        if f and start is None:
+def _runs(values: list[int]) -> list[tuple[int, int, int]]:
+    """(first, number, value) of each run of equal values."""
+    out, start = [], 0
+    for k in range(1, len(values) + 1):
+        if k == len(values) or values[k] != values[start]:
+            out.append((start, k - start, values[start]))
             start = k
-        elif not f and start is not None:
-            out.append((start, k - start))
-            start = None
     return out
 
 
-SPANS = "doc_id long, key long, begin int, n int"
-_SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int32()), ("n", pa.int32())])
+_FOUND = "anchor long, content long, first int, n_windows int, smallest long"
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,9 +189,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: i
     ``key`` is a hash of the text, for rows that share an id.  Documents without an id are
     never smaller than others and repeat nothing.  A run may appear in parts.
     """
-    spark = docs.sparkSession
-    source = ids_and_text(docs, id_col, text_col).where("doc_id is not null").withColumn("key", F.xxhash64("text"))
-    cols = [("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64())]
+    with Scratch(docs.sparkSession) as keep:
+        source = ids_and_text(docs, id_col, text_col).where("doc_id is not null").withColumn("key", F.xxhash64("text"))
+        return cut(_repeats(source, window, anchor, most, keep))
+
+
+def _segments(source: DataFrame, window: int, anchor: int) -> DataFrame:
+    cols = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64())])
 
     def find(batches):
         for b in batches:
@@ -199,79 +203,95 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: i
                 start, end, bounds = words(data, off)
                 doc, begin, n, a, content = segments(word_hashes(data, start, end), bounds, window, anchor)
                 ids, keys = b.column(0).slice(i, j - i).to_numpy(), b.column(2).slice(i, j - i).to_numpy()
-                yield batch(pa.schema(cols), [ids[doc], keys[doc], (begin - bounds[doc]).astype(np.int32), n.astype(np.int32), a.view(np.int64), content.view(np.int64)])
-
-    all_ = cut(source.select("doc_id", "text", "key").mapInArrow(find, "doc_id long, key long, begin int, n int, anchor long, content long"))
-    # equal segments are one; of each the smallest document counts
-    merged = all_.groupBy("anchor", "content").agg(F.min("doc_id").alias("least"), F.min("n").alias("n_windows"), F.count("*").alias("copies"))
-    merged = cut(merged.where("copies > 1").withColumn("one", F.lit(0)).unionByName(merged.where("copies = 1").withColumn("one", F.lit(1))))
-    per_anchor = merged.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("copies").alias("times")).where("times > 1")
-    shared = cut(all_.join(per_anchor, "anchor"))
-    told = shared.join(merged.select("anchor", "content", "least"), ["anchor", "content"])
-    told = cut(told.select("doc_id", "key", "begin", "n", "anchor", "content", "least", "different"))
-    later = told.where("doc_id > least").select("doc_id", "key", "begin", "n")
-
-    # the words of segments that have other segments of their anchor to be compared with
-    open_ = told.where("doc_id = least and different > 1")
-    wanted = open_.groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "n", "anchor", "different")).alias("wanted"))
-    with_text = source.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted")
-    got_cols = [("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int32()), ("anchor", pa.int64()), ("different", pa.int64()), ("words", pa.binary())]
+                yield batch(cols, [ids[doc], keys[doc], (begin - bounds[doc]).astype(np.int32), n.astype(np.int32), a.view(np.int64), content.view(np.int64)])
+
+    return source.select("doc_id", "text", "key").mapInArrow(find, "doc_id long, key long, begin int, n int, anchor long, content long")
+
+
+def _met(found: DataFrame, keep: Scratch) -> DataFrame:
+    """The segments whose anchor stands more than once in the corpus; all others repeat nothing."""
+    parts = []
+    for s in range(SLICES):
+        own = found.where(F.pmod("anchor", F.lit(SLICES)) == s)
+        twice = own.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+        parts.append(keep.put(own.join(twice, "anchor").select("doc_id", "key", "begin", "n", "anchor", "content")))
+        release(found.sparkSession)
+    return keep.both(parts)
+
+
+def _repeats(source: DataFrame, window: int, anchor: int, most: int, keep: Scratch) -> DataFrame:
+    found = keep.put(_segments(source, window, anchor))
+    met = _met(found, keep)
+    keep.drop(found)
+    # equal segments are one, which stands for all; the smallest document has it
+    one = met.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "key", "begin", "n")).alias("at"))
+    one = keep.put(one.select("anchor", "content", "at.doc_id", "at.key", "at.begin", "at.n"))
+    different = one.groupBy("anchor").agg(F.count("*").alias("different"))
+    wanted = one.join(different, "anchor").groupBy(F.col("doc_id").alias("asked_id"), F.col("key").alias("asked_key"))
+    wanted = keep.put(wanted.agg(F.collect_list(F.struct("begin", "n", "anchor", "content", "different")).alias("wanted")))
+    asked = bounded(wanted, 48, "wanted", "wanted", "wanted")
+    with_text = source.join(asked, (F.col("doc_id") == F.col("asked_id")) & (F.col("key") == F.col("asked_key"))).select("doc_id", "text", "wanted")
+    got_cols = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("different", pa.int64()), ("words", pa.binary())])
 
     def fetch(batches):
         for b in batches:
-            for i, j, data, off in chunks(b.column(2)):
+            for i, j, data, off in chunks(b.column(1)):
                 start, end, bounds = words(data, off)
                 h = word_hashes(data, start, end)
                 rows = []
                 for k in range(j - i):
-                    d, x, first = b.column(0)[i + k].as_py(), b.column(1)[i + k].as_py(), int(bounds[k])
-                    rows += [(d, x, w["begin"], w["anchor"], w["different"], h[first + w["begin"] : first + w["begin"] + w["n"] + window - 1].tobytes()) for w in b.column(3)[i + k].as_py()]
-                yield batch(pa.schema(got_cols), [list(c) for c in zip(*rows, strict=True)] or [[] for _ in got_cols])
+                    d, first = b.column(0)[i + k].as_py(), int(bounds[k])
+                    rows += [(w["anchor"], w["content"], d, w["different"], h[first + w["begin"] : first + w["begin"] + w["n"] + window - 1].tobytes()) for w in b.column(2)[i + k].as_py()]
+                yield batch(got_cols, [list(c) for c in zip(*rows, strict=True)] or [[] for _ in got_cols])
 
-    got = cut(with_text.mapInArrow(fetch, "doc_id long, key long, begin int, anchor long, different long, words binary"))
+    got = keep.put(with_text.mapInArrow(fetch, "anchor long, content long, doc_id long, different long, words binary"))
+    out_cols = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("first", pa.int32()), ("n_windows", pa.int32()), ("smallest", pa.int64())])
 
     def resolve(batches):
         held, size, anchor_now = [], 0, None
 
         def flush():
             automaton, out = Automaton(), []
-            for d, _, _, w in held:
+            for _, _, d, w in held:
                 automaton.add(w, d)
             automaton.finish()
-            for d, x, begin, w in held:
-                out += [(d, x, begin + s, n) for s, n in _runs([m < d for m in automaton.smallest(w, window)])]
-            return batch(_SPANS, [list(c) for c in zip(*out, strict=True)] or [[] for _ in _SPANS])
+            for a, c, _, w in held:
+                out += [(a, c, *run) for run in _runs(automaton.smallest(w, window))]
+            return batch(out_cols, [list(c) for c in zip(*out, strict=True)] or [[] for _ in out_cols])
 
         for b in batches:  # rows come in the order of anchors
-            for d, x, begin, a, raw in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for a, c, d, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if a != anchor_now and size >= SHARD_WORDS:
                     yield flush()
                     held, size = [], 0
                 anchor_now = a
                 w = np.frombuffer(raw, U64).tolist()
-                held.append((d, x, begin, w))
+                held.append((a, c, d, w))
                 size += len(w)
         if held:
             yield flush()
 
-    few = got.where(F.col("different") <= most).select("doc_id", "key", "begin", "anchor", "words")
-    by_shard = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(resolve, SPANS)
+    few = got.where(F.col("different") <= most).select("anchor", "content", "doc_id", "words")
+    by_shard = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(resolve, _FOUND)
 
     def explode(batches):
-        out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int32()), ("hash", pa.int64())])
+        out = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("hash", pa.int64())])
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                w = [grams(np.frombuffer(x.as_py(), U64), window).view(np.int64) for x in b.column(4)]
+                w = [grams(np.frombuffer(x.as_py(), U64), window).view(np.int64) for x in b.column(3)]
                 size = np.array([len(x) for x in w])
                 place = np.concatenate([np.arange(m, dtype=np.int32) for m in size])
-                yield batch(out, [np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size), place + np.repeat(b.column(2).to_numpy(), size), np.concatenate(w)])
+                yield batch(out, [*(np.repeat(b.column(k).to_numpy(), size) for k in range(3)), place, np.concatenate(w)])
 
-    many = got.where(F.col("different") > most).select("doc_id", "key", "begin", "anchor", "words")
-    windows = many.mapInArrow(explode, "doc_id long, key long, begin int, hash long")
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")).where("times > 1")
-    by_sum = windows.join(least, "hash").where("doc_id > least").select("doc_id", "key", "begin", F.lit(1).alias("n"))
-    return later.unionByName(by_shard).unionByName(by_sum)
+    many = got.where(F.col("different") > most).select("anchor", "content", "doc_id", "words")
+    windows = many.mapInArrow(explode, "anchor long, content long, doc_id long, first int, hash long")
+    least = windows.groupBy("hash").agg(F.min("doc_id").alias("smallest"))
+    by_sum = windows.join(least, "hash").select("anchor", "content", "first", F.lit(1).alias("n_windows"), "smallest")
+    known = keep.put(by_shard.unionByName(by_sum))
+    keep.drop(got, wanted)
+    release(source.sparkSession)
+    return met.join(known, ["anchor", "content"]).where("smallest < doc_id").select("doc_id", "key", (F.col("begin") + F.col("first")).alias("begin"), F.col("n_windows").alias("n"))
 
 
 def _cut_out(text: bytes, spans: list[tuple[int, int]], window: int) -> tuple[list[bytes], int]:
@@ -296,7 +316,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     source = ids_and_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     spans = repeats(docs, window, id_col=id_col, text_col=text_col, **search)
-    spans = spans.distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))
+    spans = spans.distinct().groupBy(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key")).agg(F.collect_list(F.struct("begin", "n")).alias("spans"))
+    spans = bounded(cut(spans), 48, "spans")
     name = "kept_sha256" if digest else "kept_text"
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), (name, pa.string())])
 
@@ -312,5 +333,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                     rows.append((len(kept) + n, n, hashlib.sha256(whole).hexdigest() if digest else whole.decode("utf-8", "replace")))
                 yield batch(out, [b.column(0).slice(i, j - i), *map(list, zip(*rows, strict=True))])
 
-    both = source.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
+    both = source.join(spans, (F.col("doc_id") == F.col("its_id")) & (F.col("key") == F.col("its_key")), "left").select("doc_id", "text", "spans")
     return both.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")

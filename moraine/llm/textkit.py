@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 19
 _BLOCK = 1 << 16
-_GIANT = 1 << 12
+#: Bytes of a word from which another hash is taken: sums of powers modulo 2**64 are equal for
+#: some words (of Thue and Morse) of a thousand bytes.
+_GIANT = 1 << 6
 U64 = np.uint64
 
 
