@@ -101,7 +101,11 @@ def parse_path(path: Column | str) -> Column:
     namespace, basename, status, h12, ks_id, triang_id, cicy_id, model_ID, label, version.
     Paths of no known namespace are ``curated`` and tell no ids.
     """
-    p = F.split(col(path), "/")
+    return F.get(F.transform(F.array(F.split(col(path), "/")), _parsed), 0)  # the parts are worked out once
+
+
+def _parsed(p: Column) -> Column:
+    """What the parts of a path tell.  The patterns are fixed values: the layout of stored files."""
     part = lambda k: F.get(p, F.lit(k))
     n, name = F.size(p), F.element_at(p, -1)
     first = part(0)

@@ -116,14 +116,17 @@ def similar_to(rows: DataFrame, flux=None, moduli=None, tau: complex | None = No
 def similarity_join(a: DataFrame, b: DataFrame, model: Sequence[str], vector: str = "flux", tol: float = 0.5, id_col: str = "id") -> DataFrame:
     """Pairs (a_id, b_id, distance) of one model whose vectors differ by ``tol`` at most in every entry.
 
-    The first entry is cut into cells of width ``tol``; a near pair's cells are neighbours, so
-    the join is on model and cell.  Cells of equal vectors are merged by the caller if need be.
+    The first two entries are cut into cells of width ``tol``; a near pair's cells are
+    neighbours, so the join is on model and cells.  Vectors of one entry have one cell.  Of a
+    table with itself both directions and each row with itself come, as for two tables.
     """
     width = F.lit(float(tol) if tol > 0 else 1.0)
-    cell = lambda df: F.floor(F.get(df[vector], F.lit(0)).cast("double") / width)
-    left = a.select(*(F.col(m) for m in model), F.col(id_col).alias("a_id"), F.col(vector).alias("_a"), F.explode(F.array(cell(a) - 1, cell(a), cell(a) + 1)).alias("_cell"))
-    right = b.select(*(F.col(m) for m in model), F.col(id_col).alias("b_id"), F.col(vector).alias("_b"), cell(b).alias("_cell"))
-    both = left.join(right, [*model, "_cell"]).withColumn("distance", A.linf("_a", "_b"))
+    cell = lambda df, k: F.coalesce(F.floor(F.get(df[vector], F.lit(k)).cast("double") / width), F.lit(0).cast("long"))
+    around = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    left = a.select(*(F.col(m) for m in model), F.col(id_col).alias("a_id"), F.col(vector).alias("_a"), around(cell(a, 0)).alias("_cell"), cell(a, 1).alias("_own"))
+    left = left.select(*model, "a_id", "_a", "_cell", around(F.col("_own")).alias("_next"))
+    right = b.select(*(F.col(m) for m in model), F.col(id_col).alias("b_id"), F.col(vector).alias("_b"), cell(b, 0).alias("_cell"), cell(b, 1).alias("_next"))
+    both = left.join(right, [*model, "_cell", "_next"]).withColumn("distance", A.linf("_a", "_b"))
     return both.where(F.col("distance") <= tol).select(*model, "a_id", "b_id", "distance")
 
 

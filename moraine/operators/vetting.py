@@ -18,7 +18,7 @@ from moraine.functions import arrays as A
 from moraine.functions import ids
 from moraine.functions import text as X
 from moraine.operators.joins import anti
-from moraine.operators.windows import first_of, number_rows
+from moraine.operators.windows import attempt_index, number_rows
 from moraine.schemas import CERT_STATUSES, FLOOR_COLUMNS, REQUIRED_COLUMNS
 
 
@@ -27,11 +27,13 @@ def errors_of(*checks: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), message) for bad, message in checks)))
 
 
-def validate_rows(df: DataFrame, known: DataFrame | None = None, tadpole: float | None = None, tol: float | None = None, required: Sequence[str] = FLOOR_COLUMNS, key: Sequence[str] = ("flux",), susy_only: bool = False) -> DataFrame:
+def validate_rows(df: DataFrame, known: DataFrame | None = None, tadpole: float | None = None, tol: float | None = None, required: Sequence[str] = FLOOR_COLUMNS, key: Sequence[str] = ("flux",), susy_only: bool = False, residual: Column | None = None) -> DataFrame:
     """``df`` with ``errors`` and ``passed``: required values, known solutions, residual, tadpole.
 
     Later checks count only for rows with no earlier error.  A column that is missing fails
-    every row, if it is required.
+    every row, if it is required.  ``residual`` is worked out by the caller's model (such as a
+    ``python_certifier``'s); without it the stored column counts.  A residual that is null or
+    not a number is over any tolerance.
     """
     missing = [c for c in required if c not in df.columns]
     first = [(F.lit(True), f"missing column {c}") for c in missing] + [(F.col(c).isNull(), f"{c} is null") for c in required if c in df.columns]
@@ -41,8 +43,9 @@ def validate_rows(df: DataFrame, known: DataFrame | None = None, tadpole: float
         on = [F.col(k) == F.col(f"_k{n}") for n, k in enumerate(key)]
         out = out.join(mark, on, "left").drop(*(f"_k{n}" for n in range(len(key)))).withColumn("errors", F.when((F.size("errors") == 0) & F.col("_known"), F.array(F.lit("already stored"))).otherwise(F.col("errors"))).drop("_known")
     later = []
-    if tol is not None and "residual" in df.columns:
-        over = ~(F.abs("residual") <= tol)
+    own = residual if residual is not None else F.col("residual") if "residual" in df.columns else None
+    if tol is not None and own is not None:
+        over = ~F.coalesce(F.abs(own) <= tol, F.lit(False))
         later.append(((F.col("is_susy") & over) if susy_only and "is_susy" in df.columns else over, "residual over the tolerance"))
     if "flux" in df.columns:
         later.append((~A.is_integral("flux"), "flux is not integral"))
@@ -231,10 +234,11 @@ def review(df: DataFrame, known: DataFrame, certificate: Callable[[DataFrame], C
     stored = known.select(geometry, ids.canonical_flux("flux").alias("_flux"))
     fresh = anti(good, stored, key)
     old = good.join(stored.distinct(), key, "left_semi").withColumn("reason", F.lit("already stored"))
-    first = first_of(fresh, key, order)
-    again = fresh.join(first.select(*key, F.struct(*order).alias("_o")), key).where(F.struct(*order) > F.col("_o")).drop("_o").withColumn("reason", F.lit("repeated in the submission"))
-    rejected = bad.unionByName(weak).unionByName(old.drop("_flux")).unionByName(again.drop("_flux"))
-    return first.drop("_flux"), rejected
+    # rows that tie on the order fall back on a hash of all they hold; of equal rows one is new
+    fresh = attempt_index(fresh, key, [*order, F.xxhash64(*(F.col(c) for c in fresh.columns))], "_n")
+    again = fresh.where("_n > 1").withColumn("reason", F.lit("repeated in the submission"))
+    rejected = bad.unionByName(weak).unionByName(old.drop("_flux")).unionByName(again.drop("_flux", "_n"))
+    return fresh.where("_n = 1").drop("_flux", "_n"), rejected
 
 
 def fully_certified(manifest: dict, registry: VerifierRegistry | None = None) -> bool:

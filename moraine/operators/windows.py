@@ -31,8 +31,7 @@ def attempt_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
 def merge_logs(a: DataFrame, b: DataFrame, key: str = "run_id", order: Sequence[str] = ("finished_at", "started_at"), ties: Sequence[str] = ()) -> DataFrame:
     """Both logs with the last event of each run, by the order with nulls first; of equals, the second log's."""
     both = a.withColumn("_from", F.lit(0)).unionByName(b.withColumn("_from", F.lit(1)), allowMissingColumns=True)
-    rank = [F.col(o).desc_nulls_last() for o in order] + [F.col("_from").desc(), *(F.col(t).desc() for t in ties)]
-    return both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*rank))).where("_n = 1").drop("_n", "_from")
+    return latest(both, [key], [*order, "_from", *ties]).drop("_from")  # the greatest, in which null is less than all
 
 
 def number_rows(df: DataFrame, order: Sequence[str], start: int = 0, name: str = "id") -> DataFrame:

@@ -101,13 +101,15 @@ def semi_ids(spark, d):
     return J.semi(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), keys, ["o_custkey"])
 
 
-@query("""with v as (select vec_id, label, embedding e from embeddings), q as (select e qe from v where vec_id = 0)
- select vec_id, label from v, q where list_max(list_transform(list_zip(e, qe), lambda z: abs(cast(z[1] as double) - cast(z[2] as double)))) <= 0.5""")
+@query("""with q as (select vec_id query_id, embedding qe from embeddings where vec_id % 50 = 0)
+ select query_id, vec_id, label from embeddings, q where list_max(list_transform(list_zip(embedding, qe), lambda z: abs(cast(z[1] as double) - cast(z[2] as double)))) <= 0.5""")
 def similar_linf(spark, d):
+    """Every fiftieth vector against all of them."""
     v = _t(spark, d, "embeddings")
-    first = v.where("vec_id = 0").first()["embedding"]
-    rows = v.withColumn("flux", v["embedding"])
-    return J.similar_to(rows, flux=first, flux_tol=0.5).select("vec_id", "label")
+    queries = v.where("vec_id % 50 = 0").select(F.lit(0).alias("model"), F.col("vec_id").alias("id"), F.col("embedding").alias("flux"))
+    every = v.select(F.lit(0).alias("model"), F.col("vec_id").alias("id"), F.col("embedding").alias("flux"))
+    near = J.similarity_join(queries, every, ["model"], "flux", 0.5).select(F.col("a_id").alias("query_id"), F.col("b_id").alias("vec_id"))
+    return near.join(v.select("vec_id", "label"), "vec_id")
 
 
 @query("""select a.label, a.vec_id a_id, b.vec_id b_id, round(list_max(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(cast(z[1] as double) - cast(z[2] as double)))), 6) distance
@@ -144,12 +146,12 @@ def attempt_index(spark, d):
     return W.attempt_index(_t(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
-@query("""with a as (select user_id run_id, event_id, event_type status, case when event_type = 'view' then null else ts end finished_at, 0 src from events where event_id % 2 = 0),
- b as (select user_id run_id, event_id, event_type status, case when event_type = 'view' then null else ts end finished_at, 1 src from events where event_id % 3 = 0)
+@query("""with a as (select user_id run_id, event_id, event_type status, case when event_type = 'view' then null else ts end finished_at, 0 src from events where value < 60),
+ b as (select user_id run_id, event_id, event_type status, case when event_type = 'view' then null else ts end finished_at, 1 src from events where value >= 40)
  select run_id, event_id, status from (select *, row_number() over (partition by run_id order by finished_at desc nulls last, event_id desc, src desc) n from (select * from a union all select * from b)) where n = 1""")
 def log_merge(spark, d):
-    e = _t(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", F.col("event_type").alias("status"), F.when(F.col("event_type") != "view", F.col("ts")).alias("finished_at"))
-    return W.merge_logs(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), order=["finished_at", "event_id"]).drop("finished_at")
+    e = _t(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", F.col("event_type").alias("status"), F.when(F.col("event_type") != "view", F.col("ts")).alias("finished_at"), "value")
+    return W.merge_logs(e.where("value < 60").drop("value"), e.where("value >= 40").drop("value"), order=["finished_at", "event_id"]).drop("finished_at")
 
 
 @query("select l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice from (select *, row_number() over (partition by l_partkey, l_suppkey order by l_orderkey, l_linenumber, l_quantity, l_extendedprice) n from lineitem) where n = 1")

@@ -18,13 +18,14 @@ from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.errors import SchemaVersionError, ValidationError
 from moraine.functions import ids
 from moraine.functions.text import safe_run_id
 from moraine.operators.filters import exact, where_all
+from moraine.operators.joins import small
 from moraine.operators.vetting import validate_schema
 from moraine.schemas import GEOMETRY_KEYS, PRODUCTION, SHARD_CATALOG, conform
 
@@ -317,8 +318,7 @@ def shard_catalog(spark: SparkSession, root: str, strict: bool = False) -> tuple
     if not readable:
         return spark.createDataFrame([], SHARD_CATALOG), bad
     keys = spark.read.schema(PRODUCTION).parquet(*readable).groupBy(F.col("_metadata.file_path").alias("p")).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("run_id", "geometry_id", *GEOMETRY_KEYS)))
-    norm = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    both = good.join(keys, norm(F.col("path")) == norm(F.col("p")), "left")
+    both = good.join(keys, _plain("path") == _plain("p"), "left")
     out = both.select("path", "run_id", "geometry_id", *GEOMETRY_KEYS, version.alias("schema_version"), "n_rows", F.array_join("columns", ",").alias("columns"))
     return out.orderBy("path"), bad
 
@@ -328,33 +328,35 @@ def query_shards(spark: SparkSession, catalog: DataFrame, columns: Sequence[str]
     a shard without it keeps all its rows.  Null in a shard that has the column does not match."""
     if unknown := set(keys) - set(FILTER_KEYS):
         raise TypeError(f"cannot filter on {sorted(unknown)}")
-    rows = where_all(catalog, exact(catalog, keys)).select("path", "columns").collect()  # one row for each file
+    chosen = where_all(catalog, exact(catalog, keys)).select("path", "columns")
+    rows = chosen.collect()  # one row for each file
     if not rows:
         return spark.createDataFrame([], PRODUCTION)
-    df = spark.read.schema(PRODUCTION).parquet(*(r["path"] for r in rows))
     known = set().union(*(r["columns"].split(",") for r in rows))
-    extra = [c for c in known if c not in PRODUCTION.names]
-    if extra:
+    df = spark.read.schema(PRODUCTION).parquet(*(r["path"] for r in rows))
+    place = _plain("_metadata.file_path").alias("_path")
+    if any(c not in PRODUCTION.names for c in known):
         df = spark.read.option("mergeSchema", "true").parquet(*(r["path"] for r in rows))
-        df = conform(df, PRODUCTION)
-    wanted = {"is_susy": is_susy, "cert_status": cert_status, "solver_name": solver_name}
-    conditions = []
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    for c, v in wanted.items():
-        if v is None:
-            continue
-        without = [r["path"].rpartition("/")[2] for r in rows if c not in r["columns"].split(",")]
-        if len(without) == len(rows) or c not in df.columns:
-            continue
-        match = F.coalesce(F.col(c) == v, F.lit(False))
-        conditions.append(match | name.isin(without) if without else match)
-    out = where_all(df, conditions)
-    present = [c for c in out.columns if c in known]
+        df = conform(df.select("*", place), PRODUCTION)
+    else:
+        df = df.select("*", place)
+    wanted = {c: v for c, v in {"is_susy": is_susy, "cert_status": cert_status, "solver_name": solver_name}.items() if v is not None and c in df.columns}
+    if wanted:
+        # shards of one run share a file name, so a shard is known by its whole path
+        has = chosen.select(_plain("path").alias("_path"), *(F.array_contains(F.split("columns", ","), c).alias(f"_has_{c}") for c in wanted)).dropDuplicates(["_path"])
+        df = df.join(small(has), "_path", "left")
+        df = where_all(df, [~F.coalesce(F.col(f"_has_{c}"), F.lit(True)) | F.coalesce(F.col(c) == v, F.lit(False)) for c, v in wanted.items()])
+    present = [c for c in df.columns if c in known]
     if columns is not None:
         if missing := [c for c in columns if c not in known]:
             raise KeyError(f"no columns {missing}")
         present = list(columns)
-    return out.select(*present)
+    return df.select(*present)
+
+
+def _plain(path: str) -> Column:
+    """A path without the scheme of local files, which Spark and a catalogue write differently."""
+    return F.regexp_replace(F.col(path), "^file:/+", "/")
 
 
 def freeze(spark: SparkSession, rows: DataFrame, catalog: DataFrame, to: str, name: str, registry=None, require_certified: bool = True) -> dict:
