@@ -13,9 +13,10 @@ of every window, and a window is removed from all documents larger than that.  T
 are built where their shard is instead of being sent to every executor, because the
 reference grows with the corpus and has no bound.
 
-An anchor with more than ``MOST`` different segments would make a shard of any size.  Its
-windows are resolved exactly by the smallest document of each window, summed before the
-shuffle.
+An anchor with more than ``MOST`` different segments would make an automaton of any size.  Its
+windows are resolved exactly by the smallest document of each window: up to ``GATHERED``
+segments by sorting the windows' hashes where the anchor is, beyond that by sums over rows of
+one window, which are summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import U64, Scratch, batch, bounded, chunks, cut, doc_of, grams, ids_and_text, release, word_hashes, words
+from moraine.llm.textkit import U64, Scratch, batch, chunks, cut, doc_of, grams, ids_and_text, release, word_hashes, words
 
 WINDOW, ANCHOR = 50, 18
 #: Segments of an anchor beyond which its windows are resolved by sums.
 MOST = 256
+#: Segments of an anchor beyond which they are not gathered in one task.
+GATHERED = 1 << 15
 #: Words of the segments that one automaton holds.
 SHARD_WORDS = 10_000
 #: Parts of the segments that are shuffled one after another.
@@ -183,7 +186,7 @@ def _runs(values: list[int]) -> list[tuple[int, int, int]]:
 _FOUND = "anchor long, content long, first int, n_windows int, smallest long"
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST, gathered: int = GATHERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, begin, n: runs of n windows from word ``begin`` that start in a smaller document too.
 
     ``key`` is a hash of the text, for rows that share an id.  Documents without an id are
@@ -191,7 +194,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: i
     """
     with Scratch(docs.sparkSession) as keep:
         source = ids_and_text(docs, id_col, text_col).where("doc_id is not null").withColumn("key", F.xxhash64("text"))
-        return cut(_repeats(source, window, anchor, most, keep))
+        return cut(_repeats(source, window, anchor, most, gathered, keep))
 
 
 def _segments(source: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -219,7 +222,7 @@ def _met(found: DataFrame, keep: Scratch) -> DataFrame:
     return keep.both(parts)
 
 
-def _repeats(source: DataFrame, window: int, anchor: int, most: int, keep: Scratch) -> DataFrame:
+def _repeats(source: DataFrame, window: int, anchor: int, most: int, gathered: int, keep: Scratch) -> DataFrame:
     found = keep.put(_segments(source, window, anchor))
     met = _met(found, keep)
     keep.drop(found)
@@ -229,8 +232,7 @@ def _repeats(source: DataFrame, window: int, anchor: int, most: int, keep: Scrat
     different = one.groupBy("anchor").agg(F.count("*").alias("different"))
     wanted = one.join(different, "anchor").groupBy(F.col("doc_id").alias("asked_id"), F.col("key").alias("asked_key"))
     wanted = keep.put(wanted.agg(F.collect_list(F.struct("begin", "n", "anchor", "content", "different")).alias("wanted")))
-    asked = bounded(wanted, 48, "wanted", "wanted", "wanted")
-    with_text = source.join(asked, (F.col("doc_id") == F.col("asked_id")) & (F.col("key") == F.col("asked_key"))).select("doc_id", "text", "wanted")
+    with_text = source.join(wanted, (F.col("doc_id") == F.col("asked_id")) & (F.col("key") == F.col("asked_key"))).select("doc_id", "text", "wanted")
     got_cols = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("different", pa.int64()), ("words", pa.binary())])
 
     def fetch(batches):
@@ -274,6 +276,33 @@ def _repeats(source: DataFrame, window: int, anchor: int, most: int, keep: Scrat
     few = got.where(F.col("different") <= most).select("anchor", "content", "doc_id", "words")
     by_shard = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(resolve, _FOUND)
 
+    def gather(batches):
+        held, anchor_now = [], None
+
+        def flush():
+            h = [grams(np.frombuffer(raw, U64), window) for _, _, _, raw in held]
+            size = np.array([len(x) for x in h])
+            doc = np.repeat(np.array([d for _, _, d, _ in held], np.int64), size)
+            _, which = np.unique(np.concatenate(h), return_inverse=True)
+            least = np.full(int(which.max()) + 1, 1 << 62, np.int64)
+            np.minimum.at(least, which, doc)
+            smallest, end = least[which], np.cumsum(size)
+            out = [(a, c, *run) for (a, c, _, _), x, y in zip(held, end - size, end, strict=True) for run in _runs(smallest[x:y].tolist())]
+            return batch(out_cols, [list(c) for c in zip(*out, strict=True)])
+
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if row[0] != anchor_now and held:
+                    yield flush()
+                    held = []
+                anchor_now = row[0]
+                held.append(row)
+        if held:
+            yield flush()
+
+    some = got.where(F.col("different").between(most + 1, gathered)).select("anchor", "content", "doc_id", "words")
+    by_anchor = some.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(gather, _FOUND)
+
     def explode(batches):
         out = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("hash", pa.int64())])
         for whole in batches:
@@ -284,11 +313,11 @@ def _repeats(source: DataFrame, window: int, anchor: int, most: int, keep: Scrat
                 place = np.concatenate([np.arange(m, dtype=np.int32) for m in size])
                 yield batch(out, [*(np.repeat(b.column(k).to_numpy(), size) for k in range(3)), place, np.concatenate(w)])
 
-    many = got.where(F.col("different") > most).select("anchor", "content", "doc_id", "words")
+    many = got.where(F.col("different") > max(most, gathered)).select("anchor", "content", "doc_id", "words")
     windows = many.mapInArrow(explode, "anchor long, content long, doc_id long, first int, hash long")
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("smallest"))
     by_sum = windows.join(least, "hash").select("anchor", "content", "first", F.lit(1).alias("n_windows"), "smallest")
-    known = keep.put(by_shard.unionByName(by_sum))
+    known = keep.put(by_shard.unionByName(by_anchor).unionByName(by_sum))
     keep.drop(got, wanted)
     release(source.sparkSession)
     return met.join(known, ["anchor", "content"]).where("smallest < doc_id").select("doc_id", "key", (F.col("begin") + F.col("first")).alias("begin"), F.col("n_windows").alias("n"))
@@ -317,7 +346,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     source = ids_and_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     spans = repeats(docs, window, id_col=id_col, text_col=text_col, **search)
     spans = spans.distinct().groupBy(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key")).agg(F.collect_list(F.struct("begin", "n")).alias("spans"))
-    spans = bounded(cut(spans), 48, "spans")
+    spans = cut(spans)
     name = "kept_sha256" if digest else "kept_text"
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), (name, pa.string())])
 

@@ -268,8 +268,8 @@ def cut_brute(texts, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "anchor", "most"), [(12, 5, 256), (12, 5, 2), (50, 18, 256)])
-def test_repeated_passages(spark, window, anchor, most):
+@pytest.mark.parametrize(("window", "anchor", "most", "gathered"), [(12, 5, 256, 512), (12, 5, 2, 512), (12, 5, 2, 3), (50, 18, 256, 512)])
+def test_repeated_passages(spark, window, anchor, most, gathered):
     rnd = random.Random(window + most)
     passages = [[f"p{j}.{k}" for k in range(window + rnd.randrange(12))] for j in range(3)] + [["tick", "tock"] * window]
     texts = odd(3)
@@ -281,7 +281,7 @@ def test_repeated_passages(spark, window, anchor, most):
             w[at:at] = p[rnd.randrange(4) : len(p) - rnd.randrange(4)]
         texts.append(" ".join(w))
     texts += texts[5:12]
-    got = by_id(substring.remove_repeats(table(spark, texts), window, anchor=anchor, most=most))
+    got = by_id(substring.remove_repeats(table(spark, texts), window, anchor=anchor, most=most, gathered=gathered))
     assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"]) for i in range(len(texts))] == cut_brute(texts, window)
 
 
