@@ -102,20 +102,37 @@ class Catalog:
     def query_conifolds(self, **filters) -> DataFrame:
         return Q.mirror_query_conifolds(self.table("conifold_catalog"), mirrored=not self.mirrored, **filters)
 
-    def split(self, name: str) -> DataFrame:
-        """All shards of a split with ``shard_id`` and ``row_index`` from where a row lies.
+    def split(self, name: str, shard_ids: Sequence[int] | None = None) -> DataFrame:
+        """Shards of a split with ``shard_id`` and ``row_index`` from where a row lies; all, or those of the given numbers.
 
         Filters on row_index reach the scan.
         """
-        df = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
-        return with_place(df)
+        reader = self.spark.read.option("recursiveFileLookup", "true")
+        if shard_ids is not None:
+            # names are padded with zeros to five digits or more
+            names = "{" + ",".join(f"data-{int(k):05d}.parquet" for k in sorted(set(shard_ids))) + "}"
+            reader = reader.option("pathGlobFilter", names if shard_ids else "none").schema(self._schema(name))
+        return with_place(reader.parquet(f"{self.root}/{name}"))
+
+    def _schema(self, name: str) -> StructType:
+        """The schema of a split, read once."""
+        key = f"{name}/"
+        if key not in self._tables:
+            self._tables[key] = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
+        return self._tables[key].schema
 
     def load(self, split: str, shard: str, row: str, keys: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
-        """Catalogue rows with the detail rows they point to, one nested row each."""
+        """Catalogue rows with the detail rows they point to, one nested row each.
+
+        With keys, only the shards that their rows point to are opened.
+        """
         from moraine.operators.joins import pointer_join, small
 
-        picked = self.catalog if keys is None else self.catalog.join(small(keys), list(on), "left_semi")
-        return pointer_join(picked, self.split(split), shard, row)
+        if keys is None:
+            return pointer_join(self.catalog, self.split(split), shard, row)
+        picked = self.catalog.join(small(keys), list(on), "left_semi")
+        wanted = [r[0] for r in picked.select(shard).where(F.col(shard).isNotNull()).distinct().collect()]  # as many as shards at most
+        return pointer_join(picked, self.split(split, wanted), shard, row)
 
 
 def with_place(df: DataFrame) -> DataFrame:

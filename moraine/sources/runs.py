@@ -123,17 +123,33 @@ class SessionStore:
             self.spark.createDataFrame([tuple(run.get(c) for c in RUN_CATALOG.names)], RUN_CATALOG).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
         return run_id, written, n - new
 
-    def write_models(self, df: DataFrame, model: Sequence[str], order: Sequence[str], **options) -> DataFrame:
-        """One run for each model of the rows; a row for each with what was written."""
-        models = df.select(*model).distinct().collect()  # one row for each geometry of a batch
-        out = []
-        for m in models:
-            own = df
-            for k in model:
-                own = own.where(F.col(k).eqNullSafe(F.lit(m[k])))
-            out.append((*m, *self.write(own.drop(*model), {k: m[k] for k in model}, order, **options)))
-        kinds = dict(df.dtypes)
-        return self.spark.createDataFrame(out, ", ".join(f"{k} {kinds[k]}" for k in model) + ", run_id string, n_written long, n_skipped long")
+    def write_models(self, df: DataFrame, model: Sequence[str], order: Sequence[str], method: str | None = None, metadata: str | None = None, dedup: bool = True, keep: Column | None = None, now: datetime | None = None) -> DataFrame:
+        """One run for each model of the rows; a row for each with what was written.
+
+        All models go in one pass and one write; known solutions, the order and ``keep`` are as
+        in ``write``.  A run's id is a hash of a random batch number and its model.
+        """
+        batch = F.lit(uuid.uuid4().hex)
+        told = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in model))
+        marked = df.withColumns({"_model": told, "_flux": ids.canonical_flux("flux")})
+        fresh = marked
+        if dedup:
+            known = self.runs.select("run_id", told.alias("_model"))
+            stored = self.rows.join(known, "run_id").select("_model", ids.canonical_flux("flux").alias("_flux"))
+            fresh = first_of(anti(marked, stored, ["_model", "_flux"]), ["_model", "_flux"], order)
+        kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+        # written once, so that what is counted is what is stored
+        fresh = fresh.withColumns({"_kept": kept, "run_id": F.md5(F.concat_ws("|", batch, "_model"))})
+        counts = fresh.groupBy("_model").agg(F.count("*").alias("n_new"), F.count_if("_kept").alias("n_written"))
+        report = marked.groupBy("_model", *model).agg(F.count("*").alias("n")).join(counts, "_model", "left")
+        report = report.select(*model, F.md5(F.concat_ws("|", batch, "_model")).alias("run_id"), F.coalesce("n_written", F.lit(0)).alias("n_written"), (F.col("n") - F.coalesce("n_new", F.lit(0))).alias("n_skipped"))
+        out = self.spark.createDataFrame(report.collect(), report.schema)  # one row for each geometry of a batch
+        conform(fresh.where("_kept").drop(*model, "_model", "_flux", "_kept"), SESSION_ROW).write.mode("append").partitionBy("run_id").parquet(f"{self.root}/rows")
+        run = {"n_vacua": F.col("n_written"), "method": F.lit(method), "metadata": F.lit(metadata), "created": F.lit(now or datetime.now(timezone.utc)), "file_path": F.concat(F.lit("rows/run_id="), "run_id")}
+        runs = out.where("n_written > 0").withColumns(run)
+        runs = runs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in RUN_CATALOG.fields if f.name not in runs.columns})
+        conform(runs, RUN_CATALOG, keep_unknown=False).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        return out
 
     def load(self, run_id: str) -> DataFrame:
         if self.runs.where(F.col("run_id") == run_id).isEmpty():

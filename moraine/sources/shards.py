@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 import time
 import uuid
@@ -26,6 +27,7 @@ from moraine.functions import ids
 from moraine.functions.text import safe_run_id
 from moraine.operators.filters import exact, where_all
 from moraine.operators.joins import small
+from moraine.operators.sets import union_all
 from moraine.operators.vetting import validate_schema
 from moraine.schemas import GEOMETRY_KEYS, PRODUCTION, SHARD_CATALOG, conform
 
@@ -265,33 +267,47 @@ def sync(root: str | Path, publisher: Publisher, budget: CommitBudget, max_batch
 def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One row for each file from its footer alone: path, rows, columns, key-value metadata, error.
 
-    Executors get the files through Spark's reader, so any file system will do; files come
-    whole, of which only the footer is parsed.  It is meant for importing foreign shards; the
-    shards' own table knows all this without opening them.
+    Executors read the ends of the files by ranges, so a file's size does not matter.  Files of
+    a scheme that pyarrow does not know come through Spark's reader, and so whole.
     """
     import io
 
     import pandas as pd
     import pyarrow.parquet as pq
+    from pyarrow import fs
 
     out = "path string, n_rows long, columns array<string>, metadata map<string,string>, error string"
-    if not paths:
-        return spark.createDataFrame([], out)
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
 
-    def run(frames: Iterable[pd.DataFrame]):
+    def told(path: str, source) -> tuple:
+        try:
+            x = pq.ParquetFile(source())
+            kv = {k.decode(): v.decode("utf-8", "replace") for k, v in (x.schema_arrow.metadata or {}).items()}
+            return path, x.metadata.num_rows, x.schema_arrow.names, kv, None
+        except Exception as e:  # a file that cannot be read is reported, not fatal
+            return path, -1, [], {}, repr(e)
+
+    def opened(path: str):
+        where = "file://" + re.sub("^file:/+", "/", path) if path.startswith(("/", "file:")) else path
+        system, name = fs.FileSystem.from_uri(where)
+        return system.open_input_file(name)
+
+    def by_range(frames: Iterable[pd.DataFrame]):
+        for f in frames:
+            yield pd.DataFrame([told(p, lambda p=p: opened(p)) for p in f["path"]], columns=["path", "n_rows", "columns", "metadata", "error"])
+
+    def whole(frames: Iterable[pd.DataFrame]):
         for f in frames:
-            rows = []
-            for path, content in zip(f["path"], f["content"], strict=True):
-                try:
-                    x = pq.ParquetFile(io.BytesIO(content))
-                    kv = {k.decode(): v.decode("utf-8", "replace") for k, v in (x.schema_arrow.metadata or {}).items()}
-                    rows.append((path, x.metadata.num_rows, x.schema_arrow.names, kv, None))
-                except Exception as e:  # a file that cannot be read is reported, not fatal
-                    rows.append((path, -1, [], {}, repr(e)))
-            yield pd.DataFrame(rows, columns=["path", "n_rows", "columns", "metadata", "error"])
-
-    return files.mapInPandas(run, out)
+            yield pd.DataFrame([told(p, lambda c=c: io.BytesIO(c)) for p, c in zip(f["path"], f["content"], strict=True)], columns=["path", "n_rows", "columns", "metadata", "error"])
+
+    known = [p for p in paths if p.startswith("/") or p.partition(":")[0] in ("file", "s3", "gs", "gcs", "hdfs", "abfs", "abfss")]
+    other = [p for p in paths if p not in set(known)]
+    parts = []
+    if known:
+        tasks = max(1, min(len(known), 4 * spark.sparkContext.defaultParallelism))
+        parts.append(spark.createDataFrame([(p,) for p in known], "path string").repartition(tasks).mapInPandas(by_range, out))
+    if other:
+        parts.append(spark.read.format("binaryFile").load(other).select("path", "content").mapInPandas(whole, out))
+    return union_all(*parts) if parts else spark.createDataFrame([], out)
 
 
 def shard_catalog(spark: SparkSession, root: str, strict: bool = False) -> tuple[DataFrame, int]:
