@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import LOWER, U64, batch, chunks, ids_and_text, remainder, thinned
+from moraine.llm.textkit import LOWER, U64, batch, chunks, ids_and_text, remainder
 
 LONGEST, WIDTH = 4, 1 << 13
 LANDMARKS, SAMPLE = 24, 3000
@@ -99,27 +99,37 @@ def fit(packed: list[bytes], langs: list[str]) -> Classifier:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Fit on texts with a language whose crc32(id) mod 5 is not 0; null and empty texts are left out."""
+    """Fit on texts with a language whose crc32(id) mod 5 is not 0, about ``most`` in all and as many of each language.
+
+    Texts that are null or have no letter are left out; of several texts of one id that of the
+    least hash counts.
+    """
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     known = source.where("lang is not null and text rlike '\\\\p{L}' and doc_id is not null").where(remainder("doc_id", 5) != 0)
-    texts = thinned(known, most, "doc_id")
-    out = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())])
+    # as many of each language, so that a rare one is learned too
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.lit(float(most)) / (F.lit(max(1, counts.count())) * F.col("n"))
+    told = counts.select(F.col("lang").alias("its_lang"), share.alias("share"))
+    texts = known.join(told, F.col("lang") == F.col("its_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share") * F.lit(1 << 40)).select("doc_id", "text", "lang", F.xxhash64("text").alias("h"))
+    out = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("h", pa.int64()), ("bits", pa.binary())])
 
     def run(batches):
         for b in batches:
             for i, j, data, off in _blocks(b.column(1)):
-                yield batch(out, [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), [p.tobytes() for p in np.packbits(presences(data, off), axis=1)]])
+                yield batch(out, [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), b.column(3).slice(i, j - i), [p.tobytes() for p in np.packbits(presences(data, off), axis=1)]])
 
-    rows = texts.mapInArrow(run, "doc_id long, lang string, bits binary").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")[:most]
+    # repeated rows are one before they reach the driver
+    rows = texts.mapInArrow(run, "doc_id long, lang string, h long, bits binary").groupBy("doc_id").agg(F.min_by(F.struct("lang", "bits"), "h").alias("x")).select("doc_id", "x.lang", "x.bits").toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     return fit([rows.column("bits")[int(k)].as_py() for k in order], [rows.column("lang")[int(k)].as_py() for k in order])
 
 
 def identify(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score for every whole text.
+    """doc_id, lang_pred and score for every row of ``docs``, repeated ones included.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if nothing
-    could be learned.
+    could be learned.  Every text is read whole, whatever its length; of languages with equal
+    scores the first by name counts.
     """
     model = docs.sparkSession.sparkContext.broadcast(classifier)
     out = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])

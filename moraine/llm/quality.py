@@ -150,27 +150,33 @@ def fit(x: np.ndarray, label: np.ndarray, constraints: list[int] | None = None,
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """Fit on labelled documents whose crc32(id) mod 4 is not 2; null labels and ids are left out."""
+    """Fit on labelled documents whose crc32(id) mod 4 is not 2; null labels and ids are left out.
+
+    An id with several labels has the greatest; of several texts of one id that of the least
+    hash counts.  Without any labelled document every text that passes the base is kept.
+    """
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null").where(remainder("id", 4) != 2)
     known = thinned(cut(known.groupBy("id").agg(F.max("label").alias("label"))), most, "id")  # a bounded table
-    texts = ids_and_text(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
-    out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
+    texts = ids_and_text(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label", F.xxhash64("text").alias("h"))
+    out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("h", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def run(batches):
         for b in batches:
             for i, j, data, off in chunks(b.column(1)):
-                yield batch(out, [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), list(statistics(data, off)[1])])
+                yield batch(out, [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), b.column(3).slice(i, j - i), list(statistics(data, off)[1])])
 
-    rows = texts.mapInArrow(run, "doc_id long, label int, x array<double>").toArrow()
+    # repeated rows are one before they reach the driver
+    rows = texts.mapInArrow(run, "doc_id long, label int, h long, x array<double>").groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), F.coalesce("h", F.lit(0))).alias("x")).select("doc_id", "x.label", "x.x").toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")[:most]
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     return fit(x[order], rows.column("label").to_numpy()[order], list(FEATURES.values()))
 
 
 def judge(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and score for every whole text.
+    """doc_id, the base counts, base_failed, kept and score for every row of ``docs``, repeated ones included.
 
-    A null or empty text has no words, so it fails the base and is not kept.
+    A null or empty text has no words, so it fails the base and is not kept.  A text of any
+    length is read whole.  Words and lines are equal if their 64-bit hashes are.
     """
     model = docs.sparkSession.sparkContext.broadcast(forest)  # TREES * 2 ** (DEPTH + 1) nodes at most
     out = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in BASE), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("score", pa.float64())])

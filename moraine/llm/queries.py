@@ -12,12 +12,14 @@ from moraine.llm.textkit import remainder, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and the components of those within two bits, for every document."""
     from moraine.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score and verdict for every document, by a machine fitted on the labelled ones that are not held out."""
     from moraine.llm.toxicity import score, train
 
     docs = table(spark, sf_dir, "documents")
@@ -26,6 +28,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of trees, fitted on labelled documents, for every document."""
     from moraine.llm.quality import judge, train
 
     docs = table(spark, sf_dir, "documents")
@@ -33,6 +36,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a classifier fitted on those that are not held out."""
     from moraine.llm.langid import identify, train
 
     docs = table(spark, sf_dir, "documents")
@@ -41,42 +45,49 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document stand in a window of 50 that a smaller document has, and a digest of the rest."""
     from moraine.llm.substring import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every line with a word its class (the first line of the same set of words) and whether an earlier line matches it."""
     from moraine.llm.lines import verdicts
 
     return verdicts(table(spark, sf_dir, "documents")).drop("match_doc", "match_line")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and secrets in every document: counts, places and scores."""
     from moraine.llm.pii import report
 
     return report(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by encoded length, with the sums that answer totals, quantiles and truncated totals."""
     from moraine.llm.tokencounts import histogram, lengths
 
     return histogram(lengths(table(spark, sf_dir, "documents")))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text, for every document."""
     from moraine.llm.bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document stands in the benchmark, and where."""
     from moraine.llm.decontam import report
 
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -29,10 +29,11 @@ from moraine.llm.components import components
 from moraine.llm.textkit import U64, batch, bounded, cut, ids_and_text, text_bytes, thinned
 
 RADIUS = 2
-#: Distinct fingerprints that the driver sees to lay out the upper tree.
-SAMPLE = 1 << 16
+#: Distinct fingerprints that the driver sees to lay out the upper tree: these at least, one in
+#: so many, and so many (32 MB) at most.  With them the leaves stay small as the corpus grows.
+SAMPLE, ONE_IN, MOST_SEEN = 1 << 16, 512, 1 << 22
 #: Fingerprints aimed at in a shard, and the most shards.
-SHARD, MOST_SHARDS = 1024, 1 << 14
+SHARD, MOST_SHARDS = 1024, 1 << 17
 #: Fingerprints that are compared each with each.
 SMALL = 256
 _BITS = U64(1) << np.arange(64, dtype=U64)
@@ -211,6 +212,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard
     """
     spark = distinct.sparkSession
     total = distinct.count()
+    sample = min(max(sample, total // ONE_IN), MOST_SEEN)
     seen = np.sort(thinned(distinct.select("fp"), sample, "fp").toPandas()["fp"].to_numpy(np.int64))
     tree = spark.sparkContext.broadcast(Tree(seen.view(U64), total, shard, most_shards, radius))  # some MB at most
     routed = pa.schema([("leaf", pa.int32()), ("fp", pa.int64()), ("mid", pa.int64())])

@@ -19,7 +19,11 @@ RUN = 1024
 
 
 def lengths(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_tokens of every whole text; a null or empty text has none."""
+    """doc_id and n_tokens for every row of ``docs``, repeated ones included.
+
+    A null or empty text has no tokens; a text of any length is encoded whole.  Columns other
+    than id and text are not read.
+    """
     return over_texts(docs, lambda own, ids: (len(ids),), "doc_id long, n_tokens long", path, pattern, id_col, text_col)
 
 

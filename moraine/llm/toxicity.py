@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from moraine.llm.textkit import ALNUM, U64, batch, chunks, cut, doc_of, ids_and_text, mix, remainder, thinned, word_hashes, words
 
 BUCKETS = 1 << 22
-#: Bounds of the fit: labelled documents, and terms that the model may use.
-LABELLED, TERMS = 8000, 1024
+#: Bounds of the fit: labelled documents, bytes of each (longer ones are not learned from), and
+#: terms that the model may use.
+LABELLED, LONGEST, TERMS = 8000, 100_000, 1024
 PREFIXES = (4, 5)
 FACTORS, ROUNDS = 4, 250
 THRESHOLD = 0.3
@@ -113,12 +114,13 @@ def fit(sets: list[np.ndarray], label: np.ndarray) -> Machine:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Fit on labelled documents whose crc32(id) mod 4 is not 2; null labels and ids are left out.
 
-    An id with several labels counts as labelled 1 if any is 1.
+    An id with several labels counts as labelled 1 if any is 1; of several texts of one id the
+    one of the least hash counts.  Without any labelled document the score is 0.02 throughout.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null").where(remainder("id", 4) != 2)
     known = thinned(cut(known.groupBy("id").agg(F.max("label").alias("label"))), most, "id")  # a bounded table
-    texts = ids_and_text(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
-    out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.binary())])
+    texts = ids_and_text(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("id")).where(F.octet_length("text") <= LONGEST).select("doc_id", "text", "label", F.xxhash64("text").alias("h"))
+    out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("h", pa.int64()), ("buckets", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -126,17 +128,22 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
                 doc, bucket = terms(data, off)
                 both = np.unique(doc * BUCKETS + bucket)
                 parts = np.split((both % BUCKETS).astype(np.int32), np.searchsorted(both // BUCKETS, np.arange(1, j - i)))
-                yield batch(out, [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), [p.tobytes() for p in parts]])
+                yield batch(out, [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), b.column(3).slice(i, j - i), [p.tobytes() for p in parts]])
 
-    rows = texts.mapInArrow(run, "doc_id long, label int, buckets binary").toArrow()
+    # repeated rows are one before they reach the driver
+    rows = texts.mapInArrow(run, "doc_id long, label int, h long, buckets binary").groupBy("doc_id").agg(F.min_by(F.struct("label", "buckets"), "h").alias("x")).select("doc_id", "x.label", "x.buckets").toArrow()
     ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy()
-    order = np.argsort(ids, kind="stable")[:most]  # repeated rows do not lift the bound
+    order = np.argsort(ids, kind="stable")
     raw = rows.column("buckets")
     return fit([np.frombuffer(raw[int(k)].as_py(), np.int32).astype(np.int64) for k in order], label[order])
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and predicted for every whole text; null and empty texts get the score of no terms."""
+    """doc_id, score and predicted (1 from ``threshold`` on) for every row of ``docs``, repeated ones included.
+
+    Every text is read whole, whatever its length.  Null and empty texts get the score of no
+    terms.  Columns other than id and text are not read, so their names do not matter.
+    """
     model = docs.sparkSession.sparkContext.broadcast(machine)  # TERMS rows at most
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -150,7 +157,10 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, id_co
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` below the threshold, all columns kept; each row is judged where it is."""
+    """The rows of ``docs`` below the threshold, all columns kept; each row is judged where it is.
+
+    Null and empty texts have the score of no terms.  Repeated rows all stay or all go.
+    """
     model = docs.sparkSession.sparkContext.broadcast(machine)
     place = docs.columns.index(text_col)
 

@@ -154,14 +154,48 @@ def test_deduplicate_keeps_one_of_each(spark):
 
 
 def test_machine_learns_pairs_that_no_weights_can():
+    """Two of four terms together mean something, any other two do not, which no sum of weights tells."""
     rng = np.random.default_rng(1)
-    sets, label = [], []
-    for _ in range(800):
-        a, b = rng.random(2) < 0.5
-        sets.append(np.array(sorted({1} & {1 if a else 0} | ({2} if b else set()) | {int(x) for x in rng.integers(10, 40, 3)})))
-        label.append(int(a and b))
-    m = toxicity.fit(sets, np.array(label))
-    assert len(m.buckets) >= 2
+    flags = rng.random((3000, 4)) < 0.4
+    label = ((flags[:, 0] & flags[:, 1]) | (flags[:, 2] & flags[:, 3])).astype(int)
+    m = toxicity.fit([np.flatnonzero(f) + 5 for f in flags], label)
+    w, v = np.zeros(4), np.zeros((4, m.vector.shape[1]))
+    w[m.buckets - 5], v[m.buckets - 5] = m.weight, m.vector
+    x = flags.astype(float)
+    y = m.bias + x @ w + 0.5 * (((x @ v) ** 2).sum(1) - (x**2) @ (v**2).sum(1))
+    linear, b = np.zeros(4), 0.0
+    for _ in range(3000):  # logistic regression
+        r = 1 / (1 + np.exp(-(x @ linear + b))) - label
+        linear, b = linear - 0.5 * (x.T @ r) / len(x), b - 0.5 * r.mean()
+    two = x.sum(1) == 2
+    assert ((y > 0) == label)[two].mean() > 0.99 > 0.9 > ((x @ linear + b > 0) == label)[two].mean()
+
+
+def terms_brute(text):
+    """The buckets of a text's terms."""
+    own = lambda w: textkit.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+    out = set()
+    for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)})):
+        b = w.encode()
+        out.add(int(own(b)[0]) % toxicity.BUCKETS)
+        out |= {int(textkit.mix(own(b[:k]) + np.uint64(k))[0]) % toxicity.BUCKETS for k in toxicity.PREFIXES if len(b) > k}
+    return out
+
+
+def machine_brute(m, text):
+    """The score as a sum over all terms and all pairs of terms."""
+    at = [k for k, b in enumerate(m.buckets.tolist()) if b in terms_brute(text)]
+    y = m.bias + sum(m.weight[k] for k in at) + sum(float(m.vector[i] @ m.vector[j]) for n, i in enumerate(at) for j in at[:n])
+    return 1 / (1 + np.exp(-y))
+
+
+def test_scores_are_sums_over_pairs(spark):
+    rng = np.random.default_rng(2)
+    texts = odd(5)
+    buckets = np.array(sorted(set().union(*map(terms_brute, texts))))[:200]
+    m = toxicity.Machine(buckets, -0.5, rng.normal(0, 0.3, len(buckets)), rng.normal(0, 0.2, (len(buckets), 4)))
+    got = by_id(toxicity.score(table(spark, texts), m))
+    assert all(abs(got[i]["score"] - machine_brute(m, t)) < 1e-9 for i, t in enumerate(texts))
 
 
 def test_toxicity(spark):
@@ -244,6 +278,33 @@ def test_language(spark):
     assert by_id(langid.identify(docs, empty))[0]["lang_pred"] == "und"
 
 
+def test_kernel_ridge_against_its_equations():
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(20, 60))) for letters in ("abcd", "cdef", "efgh") * 30]
+    langs = ["aa", "bb", "cc"] * 30
+    (_, _, data, off), = textkit.chunks(pa.array(texts))
+    x = langid.presences(data, off)
+    c = langid.fit([p.tobytes() for p in np.packbits(x, axis=1)[:60]], langs[:60])
+    sets = [set(np.flatnonzero(r).tolist()) for r in x]
+    k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    marks = [s for n in ("aa", "bb", "cc") for s, lang in zip(sets[:60], langs, strict=False) if lang == n][: 3 * langid.LANDMARKS]
+    knm, kmm = np.array([[k(s, m) for m in marks] for s in sets[:60]]), np.array([[k(s, m) for m in marks] for s in marks])
+    target = np.array([[1.0 if lang == n else -1.0 for n in ("aa", "bb", "cc")] for lang in langs[:60]])
+    # the least of |K a - t|^2 + ridge n a' Kmm a
+    a = np.linalg.lstsq(knm.T @ knm + langid.RIDGE * 60 * kmm, knm.T @ target, rcond=None)[0]
+    held = np.array([[k(s, m) for m in marks] for s in sets[60:]]) @ a
+    assert np.abs(c.kernels(x[60:]) @ c.weights - held).max() < 0.02
+    assert (c.predict(x[60:])[0] == held.argmax(1)).all() and (held.argmax(1) == np.array([0, 1, 2] * 10)).all()
+
+
+def test_a_rare_language_is_learned(spark):
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choice(p) for _ in range(3)) for _ in range(20)) for p in [["ka", "lo", "mi"]] * 600 + [["sch", "ung", "ein"]] * 6]
+    docs = table(spark, texts, lang=["aa"] * 600 + ["bb"] * 6)
+    got = by_id(langid.identify(docs, langid.train(docs, most=60)))
+    assert all(got[600 + k]["lang_pred"] == "bb" for k in range(6))
+
+
 def test_kernel_counts_common_grams():
     texts = ["abcab", "bcx", ""]
     (_, _, data, off), = textkit.chunks(pa.array(texts))
