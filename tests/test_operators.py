@@ -244,3 +244,18 @@ def test_schema_validation_tells_all_at_once(spark):
     text = str(e.value)
     assert all(x in text for x in ("missing column tau_re", "null flux: 1", "no slugs: 1", "unknown cert_status: 1", "beyond one: 1"))
     assert issubclass(SchemaVersionError, RuntimeError)
+
+
+def test_rows_that_tie_are_taken_once(spark):
+    rows = spark.createDataFrame([("g", [1.0, 2.0], 1, "a"), ("g", [1.2, 2.0], 1, "b"), ("g", [1.0, 2.0], 1, "a"), ("h", [1.0, 2.0], 1, "a")], "geometry_id string, flux array<double>, place int, note string")
+    good = lambda df: V.stability(F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(2.0))
+    taken, rejected = V.review(rows, rows.limit(0), good, V.VerifierSpec("b", ("kahler_metric_pd",)), ["place"])
+    assert sorted(r["geometry_id"] for r in taken.collect()) == ["g", "h"]
+    assert [r["reason"] for r in rejected.collect()] == ["repeated in the submission"] * 2
+
+
+def test_a_missing_residual_is_over_any_tolerance(spark):
+    rows = spark.createDataFrame([([1.0], 1e-9), ([2.0], None), ([3.0], float("nan")), ([4.0], 1.0)], "flux array<double>, residual double")
+    told = lambda **k: [r["passed"] for r in V.validate_rows(rows, tol=1e-6, required=("flux",), **k).orderBy("flux").collect()]
+    assert told() == [True, False, False, False]
+    assert told(residual=F.col("flux")[0] - 4) == [False, False, False, True]

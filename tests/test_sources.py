@@ -43,6 +43,17 @@ def test_shards_write_publish_query(spark, staged, tmp_path):
         H.query_shards(spark, catalog, cicy_id=1)
 
 
+def test_shards_of_one_run_are_told_apart(spark, tmp_path):
+    """One run, two geometries: files of one name, of which only one has the column."""
+    H.write_shard(rows(spark, 2, False), tmp_path, "run", {"ks_id": 1})
+    H.write_shard(rows(spark, 2, first=9), tmp_path, "run", {"ks_id": 2})
+    out = tmp_path / "published"
+    H.sync(tmp_path, H.FolderPublisher(out), H.CommitBudget())
+    catalog, _ = H.shard_catalog(spark, str(out))
+    assert sorted(r["flux"][0] for r in H.query_shards(spark, catalog, is_susy=True).collect()) == [9, 10]
+    assert H.query_shards(spark, catalog, is_susy=False).count() == 4
+
+
 def test_same_run_replaces_its_shard(spark, tmp_path):
     key = {"ks_id": 4}
     H.write_shard(rows(spark, 3), tmp_path, "r", key)
