@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from moraine.llm.textkit import batch, chunks, ids_and_text, word_hashes
 
 #: Bounds of a worker's memory: pieces, transducer states and pairs of tokens that it remembers.
-MOST_PIECES, MOST_STATES, MOST_PAIRS = 120_000, 120_000, 300_000
+MOST_PIECES, MOST_STATES, MOST_PAIRS = 60_000, 60_000, 100_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -415,10 +415,11 @@ def over_texts(docs: DataFrame, what: Callable, schema: str, path: str | None, p
     def run(batches):
         own = codec(ranks.value, pattern)
         for b in batches:
-            for i, j, data, off in chunks(b.column(1), 1 << 20):
+            for i, j, data, off in chunks(b.column(1), 1 << 18):
                 ids, bounds = own.encode_chunk(data, off)
                 rows = [what(own, ids[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield batch(out, [b.column(0).slice(i, j - i), *zip(*rows, strict=True)])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return ids_and_text(docs, id_col, text_col).mapInArrow(run, schema)
 
