@@ -102,11 +102,17 @@ def complete_missing(df: DataFrame, model, fill_missing_only: bool = True, with_
     """
     if model is None:
         raise ValueError("a model is needed")
+    return _completed(df, lambda r: model, fill_missing_only, with_masses, tol)
+
+
+def _completed(df: DataFrame, model_of: Callable[[dict], object], fill_missing_only: bool = True, with_masses: bool = True, tol: float = 1e-6) -> DataFrame:
+    """Derived columns by the model of each row."""
     have = {f.name: f for f in df.schema.fields}
     schema = T.StructType([*(have[c] for c in df.columns), *(T.StructField(n, t) for n, t in DERIVED.items() if n not in have)])
 
     def one(r: dict) -> dict:
         try:
+            model = model_of(r)
             z = np.array(r["moduli_re"], float) + 1j * np.array(r["moduli_im"], float)
             tau, flux = complex(r["tau_re"], r["tau_im"]), np.array(r["flux"], float)
             w, dw = complex(model.superpotential(z, tau, flux)), np.array(model.DW(z, tau, flux), complex)
@@ -147,14 +153,24 @@ def derived_by_columns(df: DataFrame, kahler: Column | None = None) -> DataFrame
     return df.withColumns({n: F.coalesce(F.col(n), e) if n in df.columns else e for n, e in new.items()})
 
 
+#: Models that a worker keeps.
+KEPT_MODELS = 32
+
+
 def by_model(rows: DataFrame, loader: Callable[[dict], object], keys: list[str], **options) -> DataFrame:
-    """Derived columns where each model has its own physics, loaded on the driver by key."""
-    from moraine.operators.sets import union_all
-
-    parts = []
-    for m in rows.select(*keys).distinct().collect():  # one row for each model
-        own = rows
-        for k in keys:
-            own = own.where(F.col(k).eqNullSafe(F.lit(m[k])))
-        parts.append(complete_missing(own, loader(m.asDict()), **options))
-    return union_all(*parts) if parts else rows
+    """Derived columns where each model has its own physics, in one pass over the rows.
+
+    Rows of a model stand together in their partition, so a worker loads a model once, by its
+    key; ``loader`` goes to the workers.
+    """
+    held: dict[tuple, object] = {}
+
+    def model_of(r: dict):
+        key = tuple(r[k].item() if hasattr(r[k], "item") else r[k] for k in keys)
+        if key not in held:
+            if len(held) >= KEPT_MODELS:
+                held.clear()
+            held[key] = loader(dict(zip(keys, key, strict=True)))
+        return held[key]
+
+    return _completed(rows.sortWithinPartitions(*keys), model_of, **options)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +23,7 @@ ENTITY = ("scope", "ks_id", "coni_class_id", "coni_id")
 
 
 class RunLog:
-    """Events of runs.  One driver appends; ``seq`` is the order of appending."""
+    """Events of runs; ``seq`` is the order of appending, by one writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -31,6 +33,25 @@ class RunLog:
             return self.spark.createDataFrame([], RUN_LOG)
         return self.spark.read.schema(RUN_LOG).parquet(self.path)
 
+    @contextmanager
+    def _locked(self, patience: float = 60.0):
+        """One writer at a time, by a file beside the log that only one can create.
+
+        The file system must create files atomically, as HDFS and local ones do.  A writer that
+        died leaves the file, which is told when patience ends.
+        """
+        sc = self.spark.sparkContext
+        lock = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}.lock")
+        fs, end = lock.getFileSystem(sc._jsc.hadoopConfiguration()), time.monotonic() + patience
+        while not fs.createNewFile(lock):
+            if time.monotonic() > end:
+                raise TimeoutError(f"another writer holds {lock.toString()}")
+            time.sleep(0.1)
+        try:
+            yield
+        finally:
+            fs.delete(lock, False)
+
     def _append(self, row: dict) -> None:
         top = self.read().agg(F.max("seq")).first()[0]
         row = row | {"seq": 0 if top is None else top + 1}
@@ -44,20 +65,22 @@ class RunLog:
             raise ValueError("a class needs its id, a conifold also its own, a class no conifold")
         run_id = run_id or uuid.uuid4().hex
         key = dict(zip(ENTITY, (scope, ks_id, coni_class_id, coni_id), strict=True))
-        own = self.read()
-        for k, v in key.items():
-            own = own.where(F.col(k).eqNullSafe(F.lit(v)))
-        top = own.agg(F.max("attempt_index")).first()[0]
-        self._append(key | {"run_id": run_id, "attempt_index": (top or 0) + 1, "status": "running", "started_at": now or datetime.now(timezone.utc)} | more)
+        with self._locked():
+            own = self.read()
+            for k, v in key.items():
+                own = own.where(F.col(k).eqNullSafe(F.lit(v)))
+            top = own.agg(F.max("attempt_index")).first()[0]
+            self._append(key | {"run_id": run_id, "attempt_index": (top or 0) + 1, "status": "running", "started_at": now or datetime.now(timezone.utc)} | more)
         return run_id
 
     def finish(self, run_id: str, status: str = "done", now: datetime | None = None, **more) -> None:
         """A second event of the run, its attempt and start carried along."""
-        held = latest(self.read().where(F.col("run_id") == run_id), ["run_id"], ["seq"]).collect()
-        if not held:
-            raise KeyError(run_id)
-        row = {k: v for k, v in held[0].asDict().items() if k != "seq"}
-        self._append(row | {"status": status, "finished_at": now or datetime.now(timezone.utc)} | more)
+        with self._locked():
+            held = latest(self.read().where(F.col("run_id") == run_id), ["run_id"], ["seq"]).collect()
+            if not held:
+                raise KeyError(run_id)
+            row = {k: v for k, v in held[0].asDict().items() if k != "seq"}
+            self._append(row | {"status": status, "finished_at": now or datetime.now(timezone.utc)} | more)
 
     def cancel(self, run_id: str, **more) -> None:
         self.finish(run_id, "cancelled", **more)

@@ -113,6 +113,20 @@ def test_derived_columns(spark):
         M.complete_missing(df, None)
 
 
+class Shifted(Physics):
+    def __init__(self, by):
+        self.by = by
+
+    def tadpole(self, flux):
+        return self.by
+
+
+def test_each_model_has_its_own_physics(spark):
+    df = spark.createDataFrame([(k % 3, [1.0], [1.0], [1.5], 0.1, 5.0) for k in range(12)], "ks_id long, flux array<double>, moduli_re array<double>, moduli_im array<double>, tau_re double, tau_im double").repartition(2)
+    got = M.by_model(df, lambda key: Shifted(100 * key["ks_id"]), ["ks_id"]).collect()
+    assert len(got) == 12 and all(r.N_flux == 100 * r.ks_id for r in got)
+
+
 def test_phase_accessors(spark):
     df = spark.createDataFrame([(2, 5, [0, 0], [0, 1], [1, 1], [3, 4], [10, 20], [1])], "h11 long, h12 long, intnums_coo_i array<long>, intnums_coo_j array<long>, intnums_coo_k array<long>, intnums_coo_v array<long>, c2 array<long>, cy_basis array<long>")
     r = M.tensors(df, layout="dense").first()
