@@ -29,8 +29,8 @@ dw as (select doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') k
 m as (select doc_id, s, place, dw.n, item from dw join bw using (n, k)),
 runs as (select doc_id, item, s - place diagonal, s - row_number() over (partition by doc_id, item, s - place order by s) run, n from m),
 longest as (select doc_id, max(size) longest from (select doc_id, count(*) + any_value(n) - 1 size from runs group by doc_id, item, diagonal, run) group by doc_id),
-at as (select distinct doc_id, unnest(range(s, s + n)) i from m),
-islands as (select doc_id, min(i) - 1 b, max(i) e, count(*) size from (select doc_id, i, i - row_number() over (partition by doc_id order by i) island from at) group by doc_id, island),
+covered as (select distinct doc_id, unnest(range(s, s + n)) i from m),
+islands as (select doc_id, min(i) - 1 b, max(i) e, count(*) size from (select doc_id, i, i - row_number() over (partition by doc_id order by i) island from covered) group by doc_id, island),
 hit as (select doc_id, sum(size) n_hit, string_agg(b || ':' || e, ',' order by b) places from islands group by doc_id),
 its as (select doc_id, count(distinct item) n_items, array_to_string(list_sort(list(distinct item)), ',') items from m group by doc_id)
 select d.doc_id, cast(coalesce(len(w), 0) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
@@ -42,16 +42,16 @@ from d left join hit using (doc_id) left join its using (doc_id) left join longe
 OP6 = f"""
 with l as (select doc_id, unnest(range(len(s))) line, unnest(s) t from (select doc_id, string_split(text, chr(10)) s from documents where text is not null and doc_id is not null)),
 w as (select doc_id, line, list_sort(list_distinct(regexp_extract_all(t, {_SPACED}))) w from l),
-sets as (select w, len(w) n, min((doc_id, line)) at, count(*) copies from w where len(w) > 0 group by w),
-one as (select at, n, unnest(w) word from sets),
+sets as (select w, len(w) n, min(struct_pack(d := doc_id, l := line)) spot, count(*) copies from w where len(w) > 0 group by w),
+one as (select spot, n, unnest(w) word from sets),
 df as (select word, count(*) df from one group by word),
-ranked as (select at, n, word, row_number() over (partition by at order by df, word) place from one join df using (word)),
+ranked as (select spot, n, word, row_number() over (partition by spot order by df, word) place from one join df using (word)),
 pre as (select * from ranked where place <= n - ceil(0.8 * n - 1e-9) + 1),
-pairs as (select distinct a.at a, b.at b from pre a join pre b on a.word = b.word and a.at < b.at and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
-later as (select distinct b from (select b, len(list_intersect(x.w, y.w)) s, x.n xn, y.n yn from pairs join sets x on x.at = a join sets y on y.at = b) where s >= 0.8 * (xn + yn - s) - 1e-9)
-select doc_id, cast(line as integer) line, cast(n as bigint) n_words, struct_extract(at, 1) first_doc, cast(struct_extract(at, 2) as integer) first_line, copies n_copies,
- (doc_id, line) <> at or b is not null removed
-from w join sets using (w) left join later on later.b = at
+pairs as (select distinct a.spot a, b.spot b from pre a join pre b on a.word = b.word and a.spot < b.spot and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+later as (select distinct b from (select b, len(list_intersect(x.w, y.w)) s, x.n xn, y.n yn from pairs join sets x on x.spot = a join sets y on y.spot = b) where s >= 0.8 * (xn + yn - s) - 1e-9)
+select doc_id, cast(line as integer) line, cast(n as bigint) n_words, spot.d first_doc, cast(spot.l as integer) first_line, copies n_copies,
+ doc_id <> spot.d or line <> spot.l or b is not null removed
+from w join sets using (w) left join later on later.b = spot
 """
 
 ORACLES = {"op6_lines": OP6, "op5_substring": OP5, "op10_decontamination": OP10}
