@@ -24,10 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from moraine.llm.textkit import batch, chunks, ids_and_text, word_hashes
+from moraine.llm.textkit import KEPT, batch, chunks, ids_and_text, word_hashes, tidy
 
 #: Bounds of a worker's memory: pieces, transducer states and pairs of tokens that it remembers.
-MOST_PIECES, MOST_STATES, MOST_PAIRS = 60_000, 60_000, 100_000
+MOST_PIECES, MOST_STATES, MOST_PAIRS = 120_000, 120_000, 300_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -383,7 +383,7 @@ def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.n
     return values[np.repeat(begin[which] - at + n, n) + np.arange(at[-1])]
 
 
-_codecs: dict[tuple[bytes, str], Codec] = {}
+_codecs: dict[tuple[bytes, str], Codec] = KEPT.setdefault("bpe", {})
 
 
 def codec(lines: bytes, pattern: str) -> Codec:
@@ -415,11 +415,11 @@ def over_texts(docs: DataFrame, what: Callable, schema: str, path: str | None, p
     def run(batches):
         own = codec(ranks.value, pattern)
         for b in batches:
-            for i, j, data, off in chunks(b.column(1), 1 << 18):
+            for i, j, data, off in chunks(b.column(1), 1 << 19):
                 ids, bounds = own.encode_chunk(data, off)
                 rows = [what(own, ids[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield batch(out, [b.column(0).slice(i, j - i), *zip(*rows, strict=True)])
-        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+        tidy()
 
     return ids_and_text(docs, id_col, text_col).mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import ALNUM, LOWER, U64, batch, chunks, doc_of, ids_and_text, word_hashes, words
+from moraine.llm.textkit import ALNUM, LOWER, U64, batch, chunks, doc_of, ids_and_text, only, word_hashes, words
 
 WINDOW = 10
 #: Bytes of benchmark texts that are broadcast at a time; a larger benchmark goes in several blocks.
@@ -179,6 +179,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
         last = k == n - 1
 
         def run(batches, rows=rows, first=k == 0, last=last):
+            only("decontam")
             tests = None
             for b in batches:
                 tests = tests or TestSuffixes(rows.value, window)
@@ -238,6 +239,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         rows = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in own.toLocalIterator()])
 
         def run(batches, rows=rows):
+            only("decontam")
             tests = None
             for b in batches:
                 tests = tests or TestSuffixes(rows.value, window)

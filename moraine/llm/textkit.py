@@ -8,6 +8,8 @@ in chunks of about ``CHUNK`` bytes, so that memory follows the chunk, not the ba
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import hashlib
 import shutil
@@ -176,6 +178,26 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+#: What operators keep in a worker from task to task.
+KEPT: dict[str, dict] = {}
+
+
+def only(name: str) -> None:
+    """A worker that turns to an operator lets go of what it kept for others."""
+    for other, kept in KEPT.items():
+        if other != name and kept:
+            kept.clear()
+            tidy()
+
+
+def tidy() -> None:
+    """Give memory that a task freed back to the system: the worker goes on to other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- words --------------------------------------------------------------------------
 
 

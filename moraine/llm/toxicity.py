@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import ALNUM, U64, batch, chunks, cut, doc_of, ids_and_text, mix, remainder, thinned, word_hashes, words
+from moraine.llm.textkit import ALNUM, U64, batch, chunks, cut, doc_of, ids_and_text, mix, only, remainder, thinned, word_hashes, words
 
 BUCKETS = 1 << 22
 #: Bounds of the fit: labelled documents, bytes of each (longer ones are not learned from), and
@@ -123,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("h", pa.int64()), ("buckets", pa.binary())])
 
     def run(batches):
+        only("toxicity")
         for b in batches:
             for i, j, data, off in chunks(b.column(1)):
                 doc, bucket = terms(data, off)
@@ -148,6 +149,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, id_co
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
+        only("toxicity")
         for b in batches:
             for i, j, data, off in chunks(b.column(1)):
                 y = model.value.scores(data, off)
@@ -165,6 +167,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD,
     place = docs.columns.index(text_col)
 
     def run(batches):
+        only("toxicity")
         for b in batches:
             parts = [model.value.scores(data, off) < threshold for _, _, data, off in chunks(b.column(place))]
             yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *parts])))
