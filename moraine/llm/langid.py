@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import LOWER, U64, batch, chunks, ids_and_text, remainder
+from moraine.llm.textkit import LOWER, U64, batch, bounded, chunks, ids_and_text, remainder
 
 LONGEST, WIDTH = 4, 1 << 13
 LANDMARKS, SAMPLE = 24, 3000
@@ -110,7 +110,7 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, id_col: s
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.lit(float(most)) / (F.lit(max(1, counts.count())) * F.col("n"))
     told = counts.select(F.col("lang").alias("its_lang"), share.alias("share"))
-    texts = known.join(told, F.col("lang") == F.col("its_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share") * F.lit(1 << 40)).select("doc_id", "text", "lang", F.xxhash64("text").alias("h"))
+    texts = known.join(bounded(told, 128), F.col("lang") == F.col("its_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share") * F.lit(1 << 40)).select("doc_id", "text", "lang", F.xxhash64("text").alias("h"))
     out = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("h", pa.int64()), ("bits", pa.binary())])
 
     def run(batches):
