@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import ALNUM, LOWER, U64, batch, chunks, doc_of, ids_and_text, only, word_hashes, words
+from moraine.llm.textkit import ALNUM, LOWER, U64, batch, chunks, doc_of, ids_and_text, only, short_batches, word_hashes, words
 
 WINDOW = 10
 #: Bytes of benchmark texts that are broadcast at a time; a larger benchmark goes in several blocks.
@@ -233,6 +233,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     several blocks is one pass for each.  Null and empty texts stay.
     """
     items, n = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    short_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items

@@ -126,8 +126,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, and 10,000 of them, as is the
+#: setting by itself, are held several times over on both sides.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Have fewer rows go to Python workers at a time, unless the session has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) == 10000:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names of its own; all others stay behind."""
+    short_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import ALNUM, U64, batch, chunks, cut, doc_of, ids_and_text, mix, only, remainder, thinned, word_hashes, words
+from moraine.llm.textkit import ALNUM, U64, batch, chunks, cut, doc_of, ids_and_text, mix, only, remainder, short_batches, thinned, word_hashes, words
 
 BUCKETS = 1 << 22
 #: Bounds of the fit: labelled documents, bytes of each (longer ones are not learned from), and
@@ -164,6 +164,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD,
     Null and empty texts have the score of no terms.  Repeated rows all stay or all go.
     """
     model = docs.sparkSession.sparkContext.broadcast(machine)
+    short_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches):
