@@ -24,7 +24,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm import similar
 from moraine.llm.components import components
 from moraine.llm.textkit import U64, batch, bounded, cut, ids_and_text, text_bytes, thinned
 
@@ -282,13 +281,16 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.
     """The rows of ``docs`` whose id is the smallest of its component, all columns kept.
 
     Documents are linked if the Jaccard similarity of their shingles is ``similarity`` or more
-    (by ``similar``, as no radius of a vantage-point tree holds for that), or with None if
-    their fingerprints lie within ``radius`` bits.  Rows without an id stay.  Of repeated rows
+    (by ``similar``, which verifies what the tree finds within ``radius`` bits and searches the
+    rest by shingles, as no radius holds for a similarity), or with None if their fingerprints
+    lie within ``radius`` bits.  Rows without an id stay.  Of repeated rows
     with one id all stay or all go.
     """
     if similarity is None:
         found = near_duplicates(docs, shingle, radius, id_col, text_col, **tree)
     else:
-        found = similar.near_duplicates(docs, shingle, similarity, id_col, text_col)
+        from moraine.llm.similar import near_duplicates as similar
+
+        found = similar(docs, shingle, similarity, radius, id_col, text_col, **tree)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(bounded(gone, 16), docs[id_col].cast("long") == F.col("gone_id"), "left_anti")

@@ -7,7 +7,7 @@ import pytest
 from test_text_operators import families, lines_brute, machine_brute, without
 
 import corpus_pipeline
-from moraine.llm import bpe, toxicity
+from moraine.llm import bpe, similar, simhash, toxicity
 from moraine.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +64,29 @@ def test_near_copies_go(spark):
     assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_copies_come_from_the_tree(spark, monkeypatch):
+    """Without the search by shingles the stage still finds what lies within two bits, and verifies it."""
+    rnd = random.Random(13)
+    texts = ["", None, "a b", "A b"]
+    for _ in range(12):
+        base = [f"w{rnd.randrange(300)}" for _ in range(600)]
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join([*base[:300], "new", *base[300:]])]
+    texts += [" ".join(["a b c d e"] * 9), " ".join(["a b c d e"] * 30), "a b c d e " * 60 + "f"]  # fingerprints that are near by repeats
+    sets, fp = [shingles(t) for t in texts], [simhash.fingerprint((t or "").encode(), 5) for t in texts]
+    root = list(range(len(texts)))
+    for i in root[:]:
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= simhash.RADIUS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 8 < len(texts) - len(set(root)) < 30
+    met = similar._meetings
+    monkeypatch.setattr(similar, "_meetings", lambda firsts, keep: met(firsts.limit(0), keep))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
 def test_all_stages_against_brute_force(spark, tmp_path):
     import tiktoken
 
