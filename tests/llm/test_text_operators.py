@@ -450,6 +450,26 @@ def test_lines_many_meet(spark):
     assert {(r["doc_id"], r["line"]): r["removed"] for r in lines.verdicts(table(spark, texts)).collect()} == {k: x[-1] for k, x in want.items()}
 
 
+def test_lines_of_a_family_below_the_threshold(spark, monkeypatch):
+    """Many lines that come from one, most pairs of them not similar enough: few of these pairs are verified."""
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(f"u{rnd.randrange(10**9)}" if rnd.random() < 0.13 else w for w in base) for _ in range(200)]
+    want, _ = lines_brute(enumerate(texts))
+    assert 20 < sum(not x[-1] for x in want.values())
+    pairs, put = [], textkit.Scratch.put
+
+    def seen(self, df):
+        out = put(self, df)
+        if out.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(textkit.Scratch, "put", seen)
+    assert {(r["doc_id"], r["line"]): r["removed"] for r in lines.verdicts(table(spark, texts)).collect()} == {k: x[-1] for k, x in want.items()}
+    assert sum(pairs) < 5 * len(texts)
+
+
 # --- 7: personal data ---------------------------------------------------------------
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
