@@ -470,6 +470,32 @@ def test_lines_of_a_family_below_the_threshold(spark, monkeypatch):
     assert sum(pairs) < 5 * len(texts)
 
 
+def written(monkeypatch, *columns):
+    """The rows of every table with these columns that operators put aside from now on."""
+    rows, put = [], textkit.Scratch.put
+
+    def seen(self, df):
+        out = put(self, df)
+        if set(columns) <= set(out.columns):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(textkit.Scratch, "put", seen)
+    return rows
+
+
+def test_lines_of_a_family_in_any_order(spark, monkeypatch):
+    """The first document leads a family whose last one is read first."""
+    rnd = random.Random(13)
+    texts = [" ".join(f"u{rnd.randrange(10**9)}" if k in odd_ else f"w{k}" for k in range(60)) for odd_ in (rnd.sample(range(60), 2) for _ in range(150))]
+    ids = list(range(150))[::-1]
+    want, _ = lines_brute(zip(ids, texts, strict=True))
+    pairs = written(monkeypatch, "a", "b")
+    docs = table(spark, texts, ids).coalesce(1).sortWithinPartitions(F.desc("doc_id"))
+    assert {(r["doc_id"], r["line"]): r["removed"] for r in lines.verdicts(docs).collect()} == {k: x[-1] for k, x in want.items()}
+    assert sum(pairs) < 10 * len(texts), pairs
+
+
 # --- 7: personal data ---------------------------------------------------------------
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
