@@ -484,6 +484,18 @@ def written(monkeypatch, *columns):
     return rows
 
 
+def test_lines_that_meet_by_chance(spark, monkeypatch):
+    """Lines of a few hundred words share neighbours with many others: few go on to meet them all."""
+    rnd = random.Random(12)
+    made = [" ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.choice([6, 10, 16, 25]))) for _ in range(1500)]
+    texts = made + [made[k] + " more" for k in range(0, 1500, 50)]
+    want, _ = lines_brute(enumerate(texts))
+    rows = written(monkeypatch, "k", "prev")
+    assert {(r["doc_id"], r["line"]): r["removed"] for r in lines.verdicts(table(spark, texts)).collect()} == {k: x[-1] for k, x in want.items()}
+    assert sum(x[-1] for x in want.values()) >= 30
+    assert sum(rows) < 1000, rows
+
+
 def test_lines_of_a_family_in_any_order(spark, monkeypatch):
     """The first document leads a family whose last one is read first."""
     rnd = random.Random(13)
