@@ -4,6 +4,7 @@ from __future__ import annotations
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LETTERS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
 OP5 = f"""
@@ -54,4 +55,27 @@ select doc_id, cast(line as integer) line, cast(n as bigint) n_words, spot.d fir
 from w join sets using (w) left join later on later.b = spot
 """
 
-ORACLES = {"op6_lines": OP6, "op5_substring": OP5, "op10_decontamination": OP10}
+OP11 = r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') norm from documents),
+g as (select norm, min(doc_id) keep_id, count(*) group_size from n group by norm)
+select doc_id, keep_id, group_size, doc_id = keep_id kept, sha256(norm) text_sha256 from n join g using (norm)
+"""
+
+OP13 = f"""
+with w as (select doc_id, coalesce(lang, '') lang, coalesce(source, '') source, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_LETTERS})) term from documents),
+kept as (select lang, term from w group by lang, term having count(distinct doc_id) >= 10),
+v as (select lang, count(*) v from kept group by lang),
+c as (select lang, source, term, count(*) n from w join kept using (lang, term) group by lang, source, term),
+g as (select distinct coalesce(lang, '') lang, coalesce(source, '') source from documents),
+t as (select lang, source, coalesce(total, 0) total, coalesce(v, 0) v from g left join (select lang, source, sum(n) total from c group by lang, source) using (lang, source) left join v using (lang)),
+p as (select lang, source, term, cast(1 + (1000000000 * (coalesce(n, 0) + 2)::hugeint) // (total + 2 * v) as bigint) p, coalesce(n, 0) n from t join kept using (lang) left join c using (lang, source, term)),
+l as (select lang, term, cast(1 + (1000000000 * (sum(n) + 2)::hugeint) // (any_value(total) + 2 * any_value(v)) as bigint) q
+ from c join (select lang, sum(total) total, any_value(v) v from t group by lang) using (lang) group by lang, term),
+pairs as (select a.lang, a.source, b.source item, 'pair' part, cast(coalesce(f, 0) as bigint) "value" from g a join g b on a.lang = b.lang and a.source <> b.source
+ left join (select x.lang x_lang, x.source s, y.source t, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) f from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by x.lang, x.source, y.source) on x_lang = a.lang and s = a.source and t = b.source),
+terms as (select lang, source, term item, 'term' part, ((p - q) * (p - q)) // (p + q) "value" from p join l using (lang, term) where n > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by "value" desc, item) as integer) rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, "value", rank from ranked where part = 'pair' or rank <= 10
+"""
+
+ORACLES = {"op6_lines": OP6, "op5_substring": OP5, "op10_decontamination": OP10, "op11_exact": OP11, "op13_divergence": OP13}

@@ -86,6 +86,36 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal texts of every document, which row of it stays, and a digest of the text.
+
+    Nulls are empty texts; of rows that repeat the least id one stays (see ``recipes.groups``).
+    """
+    from moraine.llm.recipes import groups
+
+    return groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers, where they end together, and how frequent these pairs are, for every document.
+
+    Null and empty texts, and those that the tokens do not give back, have zeros (see ``alignment.align``).
+    """
+    from moraine.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"))[0]
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every two sources of a language differ, and the terms that tell a source from its language.
+
+    Nulls are empty texts, languages and sources; ties go by item (see ``divergence.audit``).
+    """
+    from moraine.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
     import corpus_pipeline
@@ -94,7 +124,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_language, op5_substring, op6_lines, op7_pii, op8_token_counts, op9_bpe, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_language, op5_substring, op6_lines, op7_pii, op8_token_counts, op9_bpe, op10_decontamination, op11_exact, op12_alignment, op13_divergence, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
