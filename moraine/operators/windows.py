@@ -37,13 +37,18 @@ def merge_logs(a: DataFrame, b: DataFrame, key: str = "run_id", order: Sequence[
 def number_rows(df: DataFrame, order: Sequence[str], start: int = 0, name: str = "id") -> DataFrame:
     """Contiguous numbers in an order: places within ranges of the order, after the counts of the ranges before.
 
-    No task sees all rows; the driver sees one count for each range.
+    No task sees all rows; the driver sees one count for each range.  The ranges are written to
+    the shared folder once, with each row's range and place: a second run of the plan could cut
+    them elsewhere, as the bounds come from a sample and adaptive execution joins small ranges.
+    Rows that tie on the whole order are numbered in any order.
     """
+    from moraine.sources.shared import kept
+
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"_part": F.shiftright("_m", 33), "_at": F.col("_m").bitwiseAND((1 << 33) - 1)})
+    ranged = kept(ranged.withColumns({"_part": F.shiftright("_m", 33), "_at": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m"))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + F.lit(start)).drop("_m", "_part", "_at", "_before")
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + F.lit(start)).drop("_part", "_at", "_before")
 
 
 def triangulation_ids(phases: DataFrame, polytope: Sequence[str], order: Sequence[str | Column], name: str = "triang_id") -> DataFrame:
