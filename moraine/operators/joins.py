@@ -87,6 +87,14 @@ def exists(rows: DataFrame, flux: Sequence[int], column: str = "flux", **identit
     return not found.limit(1).isEmpty()
 
 
+def exists_many(asked: DataFrame, rows: DataFrame, model: Sequence[str], column: str = "flux", name: str = "there") -> DataFrame:
+    """The asked rows with whether their model has their flux, all of them in one join."""
+    whole = lambda df: F.transform(df[column], lambda x: x.cast("int"))
+    known = rows.select(*model, whole(rows).alias("_flux")).distinct().withColumn("_there", F.lit(True))
+    out = asked.withColumn("_flux", whole(asked)).join(known, [*model, "_flux"], "left")
+    return out.select(*asked.columns, F.col("_there").isNotNull().alias(name))
+
+
 def semi(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keys.select(*on).distinct(), list(on), "left_semi")
 
@@ -116,18 +124,12 @@ def similar_to(rows: DataFrame, flux=None, moduli=None, tau: complex | None = No
 def similarity_join(a: DataFrame, b: DataFrame, model: Sequence[str], vector: str = "flux", tol: float = 0.5, id_col: str = "id") -> DataFrame:
     """Pairs (a_id, b_id, distance) of one model whose vectors differ by ``tol`` at most in every entry.
 
-    The first two entries are cut into cells of width ``tol``; a near pair's cells are
-    neighbours, so the join is on model and cells.  Vectors of one entry have one cell.  Of a
-    table with itself both directions and each row with itself come, as for two tables.
+    By the index of ``similarity``, over the whole vectors.  Of a table with itself both directions
+    and each row with itself come, as for two tables.
     """
-    width = F.lit(float(tol) if tol > 0 else 1.0)
-    cell = lambda df, k: F.coalesce(F.floor(F.get(df[vector], F.lit(k)).cast("double") / width), F.lit(0).cast("long"))
-    around = lambda c: F.explode(F.array(c - 1, c, c + 1))
-    left = a.select(*(F.col(m) for m in model), F.col(id_col).alias("a_id"), F.col(vector).alias("_a"), around(cell(a, 0)).alias("_cell"), cell(a, 1).alias("_own"))
-    left = left.select(*model, "a_id", "_a", "_cell", around(F.col("_own")).alias("_next"))
-    right = b.select(*(F.col(m) for m in model), F.col(id_col).alias("b_id"), F.col(vector).alias("_b"), cell(b, 0).alias("_cell"), cell(b, 1).alias("_next"))
-    both = left.join(right, [*model, "_cell", "_next"]).withColumn("distance", A.linf("_a", "_b"))
-    return both.where(F.col("distance") <= tol).select(*model, "a_id", "b_id", "distance")
+    from moraine.operators.similarity import near_flux
+
+    return near_flux(a, b, model, tol, vector, id_col)
 
 
 def with_run_fields(rows: DataFrame, runs: DataFrame) -> DataFrame:
