@@ -12,14 +12,14 @@ would be in their text.  They are as few as a language's words, so each is encod
 once in the corpus:
 
 1. each task reads its texts in blocks of some ``BLOCK`` bytes, numbers a block's segments, and
-   writes the texts as runs of these numbers, and the block's dictionary;
-2. the dictionaries' different segments are encoded and aligned;
-3. alignments go back to the dictionaries, and with them each block composes its documents and
-   counts its links, those of documents that have tokens;
-4. links are counted over all blocks, a segment's sums of them go back the same way.
-
-So a row for a segment is shuffled once for each block, not for each word, texts never are, and
-a segment that stands everywhere is no larger than another.
+   writes the texts as runs of these numbers, and the block's dictionary with counts;
+2. the dictionaries' different segments are encoded and aligned, and their links counted, as
+   often as the segments stand in the corpus, less those in texts that have no tokens;
+3. alignments and what their links count for go back to the dictionaries, and with them each
+   block composes its documents.
+
+So a row for a segment is shuffled once for each block, not for each word, texts are only as
+numbers, and a segment that stands everywhere is no larger than another.
 """
 
 from __future__ import annotations
@@ -33,13 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import KEPT, Scratch, bounded, cut, ids_and_text, only, tidy
+from moraine.llm.textkit import KEPT, Scratch, bounded, cut, ids_and_text, only, release, tidy
 
 #: Bytes of the texts of a block; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 #: White space before which a cut may be, if the vocabularies allow it.
 BLANKS = " \n\t\r"
 #: Rows of segments that are encoded at a time.
@@ -134,36 +135,47 @@ def _segments(cuts: str) -> re.Pattern:
     return re.compile(rf"\s*(?:\S+|[^\S{re.escape(cuts)}]\s*)+|\s+")
 
 
-_CODED = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("segment", pa.string()), ("row", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary())])
+_CODED = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("segment", pa.string()), ("times", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary())])
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """A run of numbers, after their count; as long as a text."""
+    return len(codes).to_bytes(8, "little") + pa.compress(codes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    return np.frombuffer(pa.decompress(packed[8:], 4 * n, codec="zstd"), np.int32)
 
 
 def _code(batches: Iterator[pa.RecordBatch], cuts: str) -> Iterator[pa.RecordBatch]:
-    """Blocks: their dictionary (local, segment), then their documents as runs of local numbers (row, doc_id, codes)."""
+    """Blocks: their dictionary (local, segment, times), then their documents as runs of local numbers (row, doc_id, codes)."""
     from pyspark import TaskContext
 
     find, at = _segments(cuts).findall, TaskContext.get().partitionId() << 32
     known: dict[str, int] = {}
     docs: list[tuple[int | None, bytes]] = []
-    size = 0
+    times, size = np.zeros(1 << 16, np.int64), 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        # a dictionary is written first, in parts, as a text may be a segment
+        # the dictionary is written first, in parts, as a text may be a segment
         words, part, a = list(known), 0, 0
         for k, w in enumerate(words):
             part += len(w)
             if part > 1 << 20 or k - a >= 1 << 16 or k + 1 == len(words):
                 n = k + 1 - a
-                yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array(range(a, k + 1), pa.int32()), pa.array(words[a : k + 1], pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_CODED)
+                yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array(range(a, k + 1), pa.int32()), pa.array(words[a : k + 1], pa.string()), pa.array(times[a : k + 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_CODED)
                 part, a = 0, k + 1
         part, a = 0, 0
         for k, (_, codes) in enumerate(docs):
             part += len(codes)
             if part > 1 << 20 or k + 1 == len(docs):
                 own, n = docs[a : k + 1], k + 1 - a
-                yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(range(a, k + 1), pa.int32()), pa.array([d for d, _ in own], pa.int64()), pa.array([c for _, c in own], pa.binary())], schema=_CODED)
+                yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(range(a, k + 1), pa.int32()), pa.array([d for d, _ in own], pa.int64()), pa.array([c for _, c in own], pa.binary())], schema=_CODED)
                 part, a = 0, k + 1
         known.clear()
         docs.clear()
+        times[:] = 0
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -173,17 +185,21 @@ def _code(batches: Iterator[pa.RecordBatch], cuts: str) -> Iterator[pa.RecordBat
                 size, at = 0, at + 1
             number = known.setdefault
             codes = np.array([number(s, len(known)) for s in find(" " + own)] if own else [], np.int32)
-            docs.append((doc_id, codes.tobytes()))
+            if len(known) > len(times):
+                times = np.concatenate([times, np.zeros(len(known), np.int64)])
+            np.add.at(times, codes, 1)
+            docs.append((doc_id, _packed(codes)))
             size += len(own) + 16
     if docs:
         yield from out()
     tidy()
 
 
-_ALIGNED = pa.schema([("segment", pa.string()), ("sound", pa.bool_()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.binary()), ("links", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+_ALIGNED = pa.schema([("segment", pa.string()), ("times", pa.int64()), ("n_a", pa.int32()), ("groups", pa.binary()), ("links", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
 
 def _align(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """n_a, groups and links of each segment; groups is null where the tokens' bytes are not the segment's."""
     both = _tokenizers(paths)
     for batch in batches:
         column = batch.column("segment")
@@ -193,67 +209,61 @@ def _align(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterato
             while b < len(column) and b - a < BATCH and size < 1 << 20:
                 size += len(column[b].as_py())
                 b += 1
-            segments = column.slice(a, b - a).to_pylist()
-            found = both.aligned(segments)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(segments, pa.string()), pa.array([x is not None for x in found], pa.bool_()), pa.array([x[0] if x else 0 for x in found], pa.int32()), pa.array([x[1] if x else 0 for x in found], pa.int32()),
-                    pa.array([x[2] if x else b"" for x in found], pa.binary()), pa.array([[{"a": p, "b": q} for p, q in x[3]] if x else [] for x in found], _ALIGNED.field("links").type),
-                ], schema=_ALIGNED,
-            )
+            found = both.aligned(column.slice(a, b - a).to_pylist())
+            pairs = np.array([x for f in found if f for link in f[3] for x in link], np.int32).reshape(-1, 2)
+            ends = np.concatenate([[0], np.cumsum([len(f[3]) if f else 0 for f in found])]).astype(np.int32)
+            links = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"]))
+            yield pa.RecordBatch.from_arrays([column.slice(a, b - a).cast(pa.string()), batch.column("times").slice(a, b - a), pa.array([f[0] if f else 0 for f in found], pa.int32()), pa.array([f[2] if f else None for f in found], pa.binary()), links], schema=_ALIGNED)
             a = b
 
 
-def _by_local(table: pa.Table, column: str, kind) -> np.ndarray:
-    """A dictionary's column as an array at the places of its segments."""
-    out = np.zeros(table.num_rows, kind)
-    out[table.column("local").to_numpy()] = table.column(column).to_numpy(zero_copy_only=False)
-    return out
-
-
-_COMPOSED = pa.schema([
-    ("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("gid", pa.int64()), ("times", pa.int64()),
-])
+_TAKEN = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("times", pa.int64())])
 
 
-def _compose(key, dictionary: pa.Table, docs: pa.Table) -> pa.Table:
-    """A block's documents, and how often each of its segments stands in those that have tokens."""
-    n = dictionary.num_rows
-    sound, n_a, n_b, n_groups = (_by_local(dictionary, c, k) for c, k in (("sound", bool), ("n_a", np.int64), ("n_b", np.int64), ("n_groups", np.int64)))
-    groups: list[bytes] = [b""] * n
-    for place, g in zip(dictionary.column("local").to_pylist(), dictionary.column("groups").to_pylist(), strict=True):
-        groups[place] = g
-    times = np.zeros(n, np.int64)
-    rows = []
-    for row, doc_id, codes in zip(docs.column("row").to_pylist(), docs.column("doc_id").to_pylist(), docs.column("codes"), strict=True):
-        own = np.frombuffer(codes.as_py(), np.int32)
-        if not len(own) or not sound[own].all():
-            rows.append((row, doc_id, 0, 0, 0, ""))
-            continue
-        times += np.bincount(own, minlength=n)
-        digest = hashlib.sha256()
-        for a in range(0, len(own), 1 << 16):  # a part at a time
-            digest.update(b";" * bool(a) + b";".join([groups[c] for c in own[a : a + (1 << 16)].tolist()]))
-        rows.append((row, doc_id, int(n_a[own].sum()), int(n_b[own].sum()), int(n_groups[own].sum()), digest.hexdigest()))
-    gid = _by_local(dictionary, "gid", np.int64)
+def _without_tokens(key, bad: pa.Table, docs: pa.Table) -> pa.Table:
+    """How often each segment of a block stands in documents that have one of the bad segments."""
+    bad_ones, times = bad.column("local").to_numpy(), np.zeros(0, np.int64)
+    for codes in docs.column("codes"):
+        own = _unpacked(codes.as_py())
+        if np.isin(own, bad_ones).any():
+            count = np.bincount(own, minlength=len(times))
+            count[: len(times)] += times
+            times = count
     held = np.flatnonzero(times)
-    d, s = len(rows), len(held)
-    of = lambda k, kind: pa.concat_arrays([pa.array([r[k] for r in rows], kind), pa.nulls(s, kind)])
-    block = pa.array([key[0].as_py()] * (d + s), pa.int64())
-    tail = [pa.concat_arrays([pa.nulls(d, pa.int64()), pa.array(x, pa.int64())]) for x in (gid[held], times[held])]
-    return pa.Table.from_arrays([block, of(0, pa.int32()), of(1, pa.int64()), of(2, pa.int64()), of(3, pa.int64()), of(4, pa.int64()), of(5, pa.string()), *tail], schema=_COMPOSED)
+    return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(held), pa.int64()), pa.array(held, pa.int32()), pa.array(times[held], pa.int64())], schema=_TAKEN)
 
 
-_SUMMED = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
+_COMPOSED = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")), ("groups_sha256", pa.string())])
 
 
-def _sum_up(key, dictionary: pa.Table, docs: pa.Table) -> pa.Table:
-    best, total = _by_local(dictionary, "best", np.int64), _by_local(dictionary, "total", np.int64)
-    own = [np.frombuffer(c.as_py(), np.int32) for c in docs.column("codes")]
-    return pa.Table.from_arrays(
-        [pa.array([key[0].as_py()] * len(own), pa.int64()), docs.column("row").combine_chunks(), pa.array([int(best[o].sum()) for o in own], pa.int64()), pa.array([int(total[o].sum()) for o in own], pa.int64())],
-        schema=_SUMMED,
-    )
+def _compose(key, dictionary: pa.Table, docs: pa.Table) -> pa.Table:
+    """A block's documents from the alignments of its segments."""
+    n = dictionary.num_rows
+    text = dictionary.column("groups").combine_chunks() if n else pa.array([], pa.binary())
+    count = lambda c: pc.count_substring(text, c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = dictionary.column("local").to_numpy()
+    at = np.zeros(n, np.int64)
+    at[place] = np.arange(n)
+    there = text.is_valid().to_numpy(zero_copy_only=False)
+    n_groups = np.where(there, count(";") + 1, 0)
+    n_a = dictionary.column("n_a").to_numpy().astype(np.int64)
+    # in a group the tokens of a tokenizer are one more than its commas
+    n_b = count(",") + 2 * n_groups - n_a
+    best, total = dictionary.column("best").to_numpy(), dictionary.column("total").to_numpy()
+    groups = text.to_pylist()
+    out = [[] for _ in _COMPOSED]
+    for doc_id, codes in zip(docs.column("doc_id").to_pylist(), docs.column("codes"), strict=True):
+        own = at[_unpacked(codes.as_py())]
+        if not len(own) or not there[own].all():
+            row = (doc_id, 0, 0, 0, 0, 0, "")
+        else:
+            digest = hashlib.sha256()
+            for a in range(0, len(own), 1 << 16):  # a part at a time
+                digest.update(b";" * bool(a) + b";".join([groups[c] for c in own[a : a + (1 << 16)].tolist()]))
+            row = (doc_id, *(int(x[own].sum()) for x in (n_a, n_b, n_groups, best, total)), digest.hexdigest())
+        for column, x in zip(out, row, strict=True):
+            column.append(x)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _COMPOSED, strict=True)], schema=_COMPOSED)
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -268,12 +278,22 @@ def segments_of(docs: DataFrame, keep: Scratch, paths: tuple[str, str]) -> DataF
     return keep.put(docs.mapInArrow(functools.partial(_code, cuts=cuts), _ddl(_CODED)))
 
 
-def pair_counts(times: DataFrame, aligned: DataFrame) -> DataFrame:
-    """a, b, n: how many links of the corpus hold a token of A and one of B linked, and whether that is b's most."""
-    seg = times.groupBy("gid").agg(F.sum("times").alias("times"))
-    links = aligned.join(seg, "gid").select("times", F.explode("links").alias("x")).groupBy("x.a", "x.b").agg(F.sum("times").alias("n"))
-    most = links.groupBy(F.col("b").alias("b_")).agg(F.max("n").alias("most"))
-    return links.join(bounded(most, 16), F.col("b") == F.col("b_")).select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
+def _taken(entries: DataFrame, texts: DataFrame, aligned: DataFrame, keep: Scratch) -> DataFrame | None:
+    """segment and taken: how often it stands in texts without tokens; None if there is no such text."""
+    unsound = keep.put(aligned.where("groups is null").select("segment"))
+    if unsound.isEmpty():
+        return None
+    bad = keep.put(entries.join(bounded(unsound, 32), "segment", "left_semi").select("block", "local"))
+    theirs = texts.join(bounded(bad.select(F.col("block").alias("of")).distinct(), 16), "of", "left_semi")
+    taken = bad.groupBy("block").cogroup(theirs.groupBy("of")).applyInArrow(_without_tokens, _ddl(_TAKEN))
+    return keep.put(entries.select("block", "local", "segment").join(taken, ["block", "local"]).groupBy("segment").agg(F.sum(taken["times"]).alias("taken")))
+
+
+def pair_counts(links: DataFrame) -> DataFrame:
+    """a, b, n and best from rows a, b and times: how many links hold a pair linked, and whether that is b's most."""
+    counted = links.groupBy("a", "b").agg(F.sum("times").alias("n")).where("n > 0")
+    most = counted.groupBy(F.col("b").alias("b_")).agg(F.max("n").alias("most"))
+    return counted.join(bounded(most, 16), F.col("b") == F.col("b_")).select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -294,24 +314,23 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
     spark = docs.sparkSession
     with Scratch(spark) as keep:
         coded = segments_of(ids_and_text(docs, id_col, text_col), keep, paths)
-        entries, texts = coded.where("local is not null").select("block", "local", "segment"), coded.where("row is not null").select(F.col("block").alias("of"), "row", "doc_id", "codes")
-        distinct = entries.select("segment").distinct().repartition("segment")
+        entries, texts = coded.where("local is not null").select("block", "local", "segment", "times"), coded.where("row is not null").select(F.col("block").alias("of"), "doc_id", "codes")
+        distinct = entries.groupBy("segment").agg(F.sum("times").alias("times"))
         aligned = keep.put(distinct.mapInArrow(functools.partial(_align, paths=paths), _ddl(_ALIGNED)).withColumn("gid", F.monotonically_increasing_id()))
-        own = aligned.select("segment", "gid", "sound", "n_a", "n_b", F.size("links").alias("n_groups"), "groups")
-        placed = entries.join(own, "segment").select("block", "local", "gid", "sound", "n_a", "n_b", "n_groups", "groups")
-        composed = keep.put(placed.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(_compose, _ddl(_COMPOSED)))
-        pairs = keep.put(pair_counts(composed.where("gid is not null").select("gid", "times"), aligned))
-        link = aligned.select("gid", F.explode("links").alias("x")).select("gid", "x.a", "x.b")
-        sums = link.join(bounded(pairs, 24), ["a", "b"]).groupBy("gid").agg(F.sum(F.col("best").cast("long")).alias("best"), F.sum("n").alias("total"))
+        release(spark)
+        taken = _taken(entries, texts, aligned, keep)
+        counted = aligned if taken is None else aligned.join(bounded(taken, 48), "segment", "left").withColumn("times", F.col("times") - F.coalesce("taken", F.lit(0)))
+        pairs = keep.put(pair_counts(counted.select("times", F.explode("links").alias("x")).select("x.a", "x.b", "times")))
+        release(spark)
+        links = aligned.select("gid", F.explode("links").alias("x")).select("gid", "x.a", "x.b")
+        sums = keep.put(links.join(bounded(pairs, 24), ["a", "b"]).groupBy("gid").agg(F.sum(F.col("best").cast("long")).alias("best"), F.sum("n").alias("total")))
+        release(spark)
         # segments that only texts without tokens have are in no pair
         of = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-        worth = keep.put(aligned.select("segment", "gid").join(sums, "gid", "left").select("segment", of("best"), of("total")))
-        worth = entries.join(worth, "segment").select("block", "local", "best", "total")
-        summed = worth.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(_sum_up, _ddl(_SUMMED))
-        rows = composed.where("row is not null").join(summed, ["block", "row"])
-        sound = F.col("n_a") > 0
-        out = rows.select(
-            "doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), F.when(sound, F.col("n_best")).otherwise(0).alias("n_best"),
-            F.when(sound, F.col("count_sum")).otherwise(0).alias("count_sum"), "groups_sha256",
-        )
+        worth = keep.put(aligned.select("segment", "gid", "n_a", "groups").join(sums, "gid", "left").select("segment", "n_a", "groups", of("best"), of("total")))
+        keep.drop(aligned, sums)
+        release(spark)
+        placed = entries.select("block", "local", "segment").join(worth, "segment").select("block", "local", "n_a", "groups", "best", "total")
+        composed = placed.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(_compose, _ddl(_COMPOSED))
+        out = composed.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
         return cut(out), cut(pairs)
