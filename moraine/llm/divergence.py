@@ -167,7 +167,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, text_co
         vocabulary = cells.groupBy("lang").agg(F.count_distinct("term").alias("v"))
         totals = counts.where("term is null").select("lang", "source").join(bounded(cells.groupBy("lang", "source").agg(F.sum("n").alias("total")), 48), ["lang", "source"], "left")
         totals = keep.put(totals.join(bounded(vocabulary, 32), "lang", "left").select("lang", "source", F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.coalesce("v", F.lit(0).cast("long")).alias("v")))
-        parts = _pairs(cells, totals).withColumn("part", F.lit("pair")).unionByName(_terms(cells, totals).withColumn("part", F.lit("term")))
-        ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-        ranked = ranked.where((F.col("part") == "pair") | (F.col("rank") <= top))
-        return cut(ranked.select("lang", "source", "part", "item", "value", "rank"))
+        ranked = lambda df, part: df.withColumn("part", F.lit(part)).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
+        # only the top terms of a task are shuffled
+        terms = ranked(_terms(cells, totals), "term").where(F.col("rank") <= top)
+        return cut(ranked(_pairs(cells, totals), "pair").unionByName(terms).select("lang", "source", "part", "item", "value", "rank"))
