@@ -164,7 +164,7 @@ def _code(batches: Iterator[pa.RecordBatch], cuts: str) -> Iterator[pa.RecordBat
             part += len(w)
             if part > 1 << 20 or k - a >= 1 << 16 or k + 1 == len(words):
                 n = k + 1 - a
-                yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array(range(a, k + 1), pa.int32()), pa.array(words[a : k + 1], pa.string()), pa.array(times[a : k + 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_CODED)
+                yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array(range(a, k + 1), pa.int32()), pa.array(words[a : k + 1], pa.string()), pa.array(times[a : k + 1].copy()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_CODED)
                 part, a = 0, k + 1
         part, a = 0, 0
         for k, (_, codes) in enumerate(docs):
