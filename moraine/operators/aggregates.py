@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def catalog_info(df: DataFrame) -> DataFrame:
@@ -116,24 +113,3 @@ def split_summary(df: DataFrame, key: str, split: Column) -> DataFrame:
     """Rows and different keys of each split; the split is worked out once for each key."""
     per_key = df.groupBy(key).agg(F.count("*").alias("n"))
     return per_key.withColumn("split", split).groupBy("split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"))
-
-
-# --- matrices: no built-in gives eigenvalues ----------------------------------------
-
-
-def _square(x) -> np.ndarray | None:
-    a = np.array([list(r) for r in x], np.float64) if x is not None and len(x) else None
-    return None if a is None or a.ndim != 2 or a.shape[0] != a.shape[1] or not np.isfinite(a).all() else a
-
-
-@F.pandas_udf(T.DoubleType())
-def least_eigenvalue(matrix: pd.Series) -> pd.Series:
-    """Of the symmetric part of a real matrix; null for what is no finite square matrix."""
-    out = [None if (a := _square(m)) is None else float(np.linalg.eigvalsh((a + a.T) / 2)[0]) for m in matrix]
-    return pd.Series(out, dtype="float64")
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def spectrum(matrix: pd.Series) -> pd.Series:
-    """Sorted eigenvalues of the symmetric part of a real matrix."""
-    return pd.Series([None if (a := _square(m)) is None else np.linalg.eigvalsh((a + a.T) / 2).tolist() for m in matrix])

@@ -94,51 +94,113 @@ def models(catalog: DataFrame, detail: DataFrame, keys: list[str], gv: DataFrame
 DERIVED = {"g_s": T.DoubleType(), "N_flux": T.DoubleType(), "W_re": T.DoubleType(), "W_im": T.DoubleType(), "F_terms_re": T.ArrayType(T.DoubleType()), "F_terms_im": T.ArrayType(T.DoubleType()), "residual": T.DoubleType(), "is_susy": T.BooleanType(), "m_gravitino": T.DoubleType(), "mass2": T.ArrayType(T.DoubleType())}
 
 
-def complete_missing(df: DataFrame, model, fill_missing_only: bool = True, with_masses: bool = True, tol: float = 1e-6) -> DataFrame:
+def complete_missing(df: DataFrame, model, fill_missing_only: bool = True, with_masses: bool = True, tol: float = 1e-6, batch: int | None = None) -> DataFrame:
     """Derived columns by a model with ``tadpole``, ``superpotential``, ``DW`` and, for masses, ``kahler_potential`` and ``mass_matrix``.
 
     Each is a function of (moduli, tau, flux).  A row on which the model fails gets nulls.
     Values already there stay, unless all are to be made anew.
+
+    With ``batch`` the functions take arrays of that many rows (moduli of n by h, tau of n, flux of n
+    by f) and give values along the first axis; a batch is filled up with its last row, so that a
+    compiled model sees one shape for each size of moduli and flux.  A batch that fails is
+    halved until the rows that fail are alone.
     """
     if model is None:
         raise ValueError("a model is needed")
-    return _completed(df, lambda r: model, fill_missing_only, with_masses, tol)
+    return _completed(df, lambda key: model, [], fill_missing_only, with_masses, tol, batch)
 
 
-def _completed(df: DataFrame, model_of: Callable[[dict], object], fill_missing_only: bool = True, with_masses: bool = True, tol: float = 1e-6) -> DataFrame:
-    """Derived columns by the model of each row."""
-    have = {f.name: f for f in df.schema.fields}
-    schema = T.StructType([*(have[c] for c in df.columns), *(T.StructField(n, t) for n, t in DERIVED.items() if n not in have)])
+def _values(model, z: np.ndarray, tau: np.ndarray, flux: np.ndarray, with_masses: bool) -> dict[str, np.ndarray]:
+    """What the model's functions give for arrays of rows."""
+    n = len(tau)
+    out = {"w": np.asarray(model.superpotential(z, tau, flux), complex).reshape(n), "dw": np.asarray(model.DW(z, tau, flux), complex).reshape(n, -1), "tadpole": np.asarray(model.tadpole(flux), float).reshape(n)}
+    if with_masses:
+        m = np.asarray(model.mass_matrix(z, tau, flux), float)
+        out |= {"kahler": np.real(np.asarray(model.kahler_potential(z, tau))).astype(float).reshape(n), "mass2": np.linalg.eigvalsh((m + np.swapaxes(m, -1, -2)) / 2)}
+    return out
+
+
+class _OneByOne:
+    """A model of single rows, called as one of arrays is."""
+
+    def __init__(self, model) -> None:
+        self.model = model
+
+    def __getattr__(self, name: str):
+        of = getattr(self.model, name)
+        return lambda *arrays: np.stack([np.asarray(of(*row)) for row in zip(*arrays, strict=True)])
+
 
-    def one(r: dict) -> dict:
+def _in_batches(model, rows: np.ndarray, z: np.ndarray, tau: np.ndarray, flux: np.ndarray, batch: int, with_masses: bool, put: Callable) -> None:
+    """``put(places, values)`` for the rows on which the model does not fail."""
+    for a in range(0, len(rows), batch):
+        part = np.arange(a, min(a + batch, len(rows)))
+        full = np.concatenate([part, np.full(batch - len(part), part[-1])])
         try:
-            model = model_of(r)
-            z = np.array(r["moduli_re"], float) + 1j * np.array(r["moduli_im"], float)
-            tau, flux = complex(r["tau_re"], r["tau_im"]), np.array(r["flux"], float)
-            w, dw = complex(model.superpotential(z, tau, flux)), np.array(model.DW(z, tau, flux), complex)
-            worst = float(np.abs(dw).max()) if len(dw) else 0.0
-            out = {"g_s": 1 / tau.imag if tau.imag else None, "N_flux": float(model.tadpole(flux)), "W_re": w.real, "W_im": w.imag, "F_terms_re": dw.real.tolist(), "F_terms_im": dw.imag.tolist(), "residual": worst, "is_susy": worst < tol}
+            got = _values(model, z[full], tau[full], flux[full], with_masses)
+        except Exception:  # of one of these rows, or of more
+            if len(part) > 1:
+                for half in np.array_split(part, 2):
+                    _in_batches(model, rows[half], z[half], tau[half], flux[half], batch, with_masses, put)
+            continue
+        put(rows[part], {k: v[: len(part)] for k, v in got.items()})
+
+
+def _derived(frame: pd.DataFrame, keys: list[str], model_of: Callable[[tuple], object], with_masses: bool, tol: float, batch: int | None) -> dict[str, list]:
+    """The derived values of a frame's rows, None where there are none."""
+    out: dict[str, list] = {c: [None] * len(frame) for c in DERIVED}
+    size: dict[tuple, list[int]] = {}
+    known = {k: frame[k].tolist() for k in keys}
+    lists = {c: frame[c].tolist() for c in ("flux", "moduli_re", "moduli_im")}
+    tau = np.array(frame["tau_re"], float) + 1j * np.array(frame["tau_im"], float)
+    for i in range(len(frame)):
+        f, re, im = lists["flux"][i], lists["moduli_re"][i], lists["moduli_im"][i]
+        if f is not None and re is not None and im is not None and len(re) == len(im):
+            size.setdefault((tuple(known[k][i] for k in keys), len(re), len(f)), []).append(i)
+
+    def put(places: np.ndarray, got: dict[str, np.ndarray]) -> None:
+        worst = np.abs(got["dw"]).max(axis=1) if got["dw"].shape[1] else np.zeros(len(places))
+        for j, i in enumerate(places.tolist()):
+            w = got["w"][j]
+            own = {"g_s": 1 / tau[i].imag if tau[i].imag else None, "N_flux": float(got["tadpole"][j]), "W_re": float(w.real), "W_im": float(w.imag), "F_terms_re": got["dw"][j].real.tolist(), "F_terms_im": got["dw"][j].imag.tolist(), "residual": float(worst[j]), "is_susy": bool(worst[j] < tol)}
             if with_masses:
-                out["m_gravitino"] = float(np.exp(float(np.real(model.kahler_potential(z, tau))) / 2) * abs(w))
-                m = np.array(model.mass_matrix(z, tau, flux), float)
-                out["mass2"] = np.linalg.eigvalsh((m + m.T) / 2).tolist()
-            return out
-        except Exception:  # this row's own failure
-            return {}
+                own |= {"m_gravitino": float(np.exp(got["kahler"][j] / 2) * abs(w)), "mass2": got["mass2"][j].tolist()}
+            for c, v in own.items():
+                out[c][i] = v
+
+    for (key, *_), places in size.items():
+        try:
+            model = model_of(key)
+        except Exception:  # these rows have no model
+            continue
+        rows = np.array(places)
+        arrays = [np.array([lists[c][i] for i in places], float) for c in ("moduli_re", "moduli_im", "flux")]
+        z = (arrays[0] + 1j * arrays[1]).reshape(len(places), -1)
+        _in_batches(model if batch else _OneByOne(model), rows, z, tau[rows], arrays[2].reshape(len(places), -1), batch or 1, with_masses, put)
+    return out
+
+
+def _completed(df: DataFrame, model_of: Callable[[tuple], object], keys: list[str], fill_missing_only: bool = True, with_masses: bool = True, tol: float = 1e-6, batch: int | None = None) -> DataFrame:
+    """Derived columns by the model of each row, known by the values of ``keys``."""
+    have = {f.name: f for f in df.schema.fields}
+    schema = T.StructType([*(have[c] for c in df.columns), *(T.StructField(n, t) for n, t in DERIVED.items() if n not in have)])
+
+    plain = [c for c in df.columns if c not in DERIVED]
 
     def missing(x) -> bool:
         return x is None or (isinstance(x, float) and np.isnan(x))
 
     def run(frames: Iterable[pd.DataFrame]):
         for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                new = one(r)
-                for n in DERIVED:
-                    if n not in r or not fill_missing_only or missing(r[n]):
-                        r[n] = new.get(n, None if n not in r else r[n] if fill_missing_only else None)
-                rows.append(r)
-            yield pd.DataFrame(rows, columns=schema.names).astype(object)
+            new, done = _derived(f, keys, model_of, with_masses, tol, batch), {}
+            for c in DERIVED:
+                held = f[c].tolist() if c in f else None
+                if held is None or not fill_missing_only:
+                    done[c] = new[c]
+                else:
+                    done[c] = [v if missing(x) and v is not None else x for x, v in zip(held, new[c], strict=True)]
+            rest = {c: f[c].tolist() for c in plain}
+            yield pd.DataFrame({c: pd.Series((rest | done)[c], dtype=object) for c in schema.names})
 
     return df.mapInPandas(run, schema)
 
@@ -165,12 +227,11 @@ def by_model(rows: DataFrame, loader: Callable[[dict], object], keys: list[str],
     """
     held: dict[tuple, object] = {}
 
-    def model_of(r: dict):
-        key = tuple(r[k].item() if hasattr(r[k], "item") else r[k] for k in keys)
+    def model_of(key: tuple):
         if key not in held:
             if len(held) >= KEPT_MODELS:
                 held.clear()
             held[key] = loader(dict(zip(keys, key, strict=True)))
         return held[key]
 
-    return _completed(rows.sortWithinPartitions(*keys), model_of, **options)
+    return _completed(rows.sortWithinPartitions(*keys), model_of, list(keys), **options)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from moraine.errors import SchemaVersionError, ValidationError
 from moraine.functions import ids
 from moraine.operators import aggregates as G
+from moraine.operators import matrices as MX
 from moraine.operators import filters as Q
 from moraine.operators import joins as J
 from moraine.operators import vetting as V
@@ -139,8 +140,8 @@ def test_summaries(spark, catalog):
 
 def test_eigenvalues(spark):
     df = spark.createDataFrame([([[2.0, 1.0], [1.0, 2.0]],), ([[1.0, float("nan")], [0.0, 1.0]],), ([],), (None,)], "m array<array<double>>")
-    assert [None if r[0] is None else round(r[0], 9) for r in df.select(G.least_eigenvalue("m")).collect()] == [1.0, None, None, None]
-    assert [round(x, 9) for x in df.select(G.spectrum("m")).first()[0]] == [1.0, 3.0]
+    assert [None if r[0] is None else round(r[0], 9) for r in df.select(MX.least_eigenvalue("m")).collect()] == [1.0, None, None, None]
+    assert [round(x, 9) for x in df.select(MX.spectrum("m")).first()[0]] == [1.0, 3.0]
 
 
 ROWS = "flux array<double>, moduli_re array<double>, moduli_im array<double>, tau_re double, tau_im double, residual double, N_flux double, i int"
