@@ -284,7 +284,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.
     (by ``similar``, which verifies what the tree finds within ``radius`` bits and searches the
     rest by shingles, as no radius holds for a similarity), or with None if their fingerprints
     lie within ``radius`` bits.  Rows without an id stay.  Of repeated rows
-    with one id all stay or all go.
+    with one id all stay or all go.  Other columns may have any names.
     """
     if similarity is None:
         found = near_duplicates(docs, shingle, radius, id_col, text_col, **tree)
@@ -293,4 +293,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.
 
         found = similar(docs, shingle, similarity, radius, id_col, text_col, **tree)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(bounded(gone, 16), docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    names = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
+    own = docs.select(*(docs[c].alias(n) for c, n in names.items()))
+    stay = own.join(bounded(gone, 16), F.col(names[id_col]).cast("long") == F.col("gone_id"), "left_anti")
+    return stay.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from moraine.llm import alignment, divergence, recipes
 
@@ -239,3 +240,19 @@ def test_queries_are_the_operators(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
     assert sorted(map(tuple, queries.op13_divergence(spark, d).collect())) == divergences([tuple(r) for r in docs])
     assert sorted(map(tuple, queries.op12_alignment(spark, d).collect())) == aligned([(r.doc_id, r.text) for r in docs])[0]
+
+
+def test_other_columns_of_any_name(spark):
+    """Every operator that gives back the documents keeps them as they are, whatever their other columns are called."""
+    from moraine.llm import decontam, lines, simhash, toxicity
+
+    clash = ["gone_id", "gone_d", "gone_t", "gone", "d", "t", "l", "id", "item_id", "told_id", "own_0", "score", "predicted", "component_id", "n_hit", "contaminated", "kept", "k", "fp", "node", "root"]
+    long = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, long + "\nthe same line of words", "en"), (2, "the same line of words\nother words of this one", "en"), (3, long + "\nthe same line of words", "en"), (None, None, "en")]
+    df = spark.createDataFrame([(*r, *range(len(clash))) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{c} int" for c in clash))
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    for out in (lines.deduplicate(df), simhash.deduplicate(df), simhash.deduplicate(df, similarity=None), recipes.deduplicate(df), toxicity.drop_toxic(df, toxicity.train(df, labels)), decontam.decontaminate(df, spark.createDataFrame([(1, "nothing of these at all here")], "item_id long, text string"))):
+        assert out.columns == df.columns
+        assert all(tuple(r)[3:] == tuple(range(len(clash))) for r in out.collect())
+    assert sorted(str(r.doc_id) for r in simhash.deduplicate(df).collect()) == ["1", "2", "None"]
+    assert {r.doc_id: r.text for r in lines.deduplicate(df).collect()} == {1: rows[0][1], 2: "other words of this one", 3: "", None: None}
