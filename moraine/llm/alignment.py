@@ -41,6 +41,8 @@ from moraine.llm.textkit import KEPT, Scratch, bounded, cut, ids_and_text, only,
 
 #: Bytes of the texts of a block; a longer text is a block of its own.
 BLOCK = 32 << 20
+#: Parts of the blocks that are composed one after another, so that disk holds the alignments of one at a time.
+SLICES = 3
 #: White space before which a cut may be, if the vocabularies allow it.
 BLANKS = " \n\t\r"
 #: Rows of segments that are encoded at a time.
@@ -330,7 +332,12 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
         worth = keep.put(aligned.select("segment", "gid", "n_a", "groups").join(sums, "gid", "left").select("segment", "n_a", "groups", of("best"), of("total")))
         keep.drop(aligned, sums)
         release(spark)
-        placed = entries.select("block", "local", "segment").join(worth, "segment").select("block", "local", "n_a", "groups", "best", "total")
-        composed = placed.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(_compose, _ddl(_COMPOSED))
+        parts = []
+        for k in range(SLICES):
+            of_slice = lambda c, k=k: F.pmod(F.xxhash64(c), F.lit(SLICES)) == k
+            placed = entries.where(of_slice("block")).select("block", "local", "segment").join(worth, "segment").select("block", "local", "n_a", "groups", "best", "total")
+            parts.append(keep.put(placed.groupBy("block").cogroup(texts.where(of_slice("of")).groupBy("of")).applyInArrow(_compose, _ddl(_COMPOSED))))
+            release(spark)
+        composed = keep.both(parts)
         out = composed.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
         return cut(out), cut(pairs)
