@@ -109,6 +109,11 @@ def next_id(df: DataFrame, key: str) -> int:
     return 0 if top is None else int(top) + 1
 
 
+def next_ids(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """One more than the largest id of each key, for all keys in one pass."""
+    return df.groupBy(*keys).agg((F.max(id_col) + 1).alias("next_id"))
+
+
 def split_summary(df: DataFrame, key: str, split: Column) -> DataFrame:
     """Rows and different keys of each split; the split is worked out once for each key."""
     per_key = df.groupBy(key).agg(F.count("*").alias("n"))

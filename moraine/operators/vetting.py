@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.errors import ValidationError
@@ -18,7 +18,7 @@ from moraine.functions import arrays as A
 from moraine.functions import ids
 from moraine.functions import text as X
 from moraine.operators.joins import anti
-from moraine.operators.windows import attempt_index, number_rows
+from moraine.operators.windows import number_rows
 from moraine.schemas import CERT_STATUSES, FLOOR_COLUMNS, REQUIRED_COLUMNS
 
 
@@ -128,14 +128,19 @@ def python_certifier(certify: Callable[[dict], dict], columns: Sequence[str]) ->
     return run(F.struct(*columns))
 
 
-def certify(df: DataFrame, certificate: Column, verifier: str, geometry: Column | str = "geometry_id", status: str = "certified") -> tuple[DataFrame, DataFrame]:
-    """(rows that passed, stamped with verifier, status, evidence and record id; the others, with no status)."""
+def _stamped(df: DataFrame, certificate: Column, verifier: str, geometry: Column | str, status: str) -> DataFrame:
+    """Rows with verifier, status, evidence, record id and the certificate itself, ``_cert``."""
     checks = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys("_cert.checks")), lambda k: F.concat(F.lit('"'), k, F.lit('": '), F.element_at("_cert.checks", k).cast("string"))), ", "), F.lit("}"))
-    stamped = df.withColumn("_cert", certificate).withColumns({
+    return df.withColumn("_cert", certificate).withColumns({
         "verifier_id": F.lit(verifier), "cert_status": F.when(F.col("_cert.passed"), status), "cert_checks": checks,
         "kahler_metric_min_eig": F.col("_cert.metric"), "hessian_min_eig": F.col("_cert.hessian"), "mass_min_eig": F.col("_cert.mass"),
         "record_id": ids.record_id("flux", ids.col(geometry), F.lit(verifier)),
     })
+
+
+def certify(df: DataFrame, certificate: Column, verifier: str, geometry: Column | str = "geometry_id", status: str = "certified") -> tuple[DataFrame, DataFrame]:
+    """(rows that passed, stamped with verifier, status, evidence and record id; the others, with no status)."""
+    stamped = _stamped(df, certificate, verifier, geometry, status)
     passed = F.coalesce(F.col("_cert.passed"), F.lit(False))
     return stamped.where(passed).drop("_cert"), stamped.where(~passed).drop("_cert")
 
@@ -225,20 +230,21 @@ def review(df: DataFrame, known: DataFrame, certificate: Callable[[DataFrame], C
     if not spec.checks_metric():
         raise ValidationError("the verifier does not check the metric")
     bare = strip_untrusted(df)
-    good, bad = certify(bare, certificate(bare), spec.verifier_id, geometry, "provisional")
-    bad = bad.withColumn("reason", F.lit("not certified"))
-    proven = X.metric_passed("cert_checks", "kahler_metric_min_eig")
-    weak = good.where(~proven).withColumn("reason", F.lit("no evidence for the metric"))
-    good = good.where(proven).withColumn("_flux", ids.canonical_flux("flux"))
-    key = [geometry, "_flux"]
-    stored = known.select(geometry, ids.canonical_flux("flux").alias("_flux"))
-    fresh = anti(good, stored, key)
-    old = good.join(stored.distinct(), key, "left_semi").withColumn("reason", F.lit("already stored"))
+    judged = _stamped(bare, certificate(bare), spec.verifier_id, geometry, "provisional")
+    # the store's different keys, and a row's place among the equal ones of the submission that passed
+    stored = known.select(F.col(geometry).alias("_g"), ids.canonical_flux("flux").alias("_f")).distinct().withColumn("_stored", F.lit(True))
+    passed = F.coalesce(F.col("_cert.passed"), F.lit(False))
+    proven = passed & F.coalesce(X.metric_passed("cert_checks", "kahler_metric_min_eig"), F.lit(False))
+    keyed = judged.withColumns({"_flux": ids.canonical_flux("flux"), "_proven": proven})
+    both = keyed.join(stored, (F.col(geometry) == F.col("_g")) & (F.col("_flux") == F.col("_f")), "left")
     # rows that tie on the order fall back on a hash of all they hold; of equal rows one is new
-    fresh = attempt_index(fresh, key, [*order, F.xxhash64(*(F.col(c) for c in fresh.columns))], "_n")
-    again = fresh.where("_n > 1").withColumn("reason", F.lit("repeated in the submission"))
-    rejected = bad.unionByName(weak).unionByName(old.drop("_flux")).unionByName(again.drop("_flux", "_n"))
-    return fresh.where("_n = 1").drop("_flux", "_n"), rejected
+    held = [c for c in judged.columns if c != "_cert"]
+    place = F.row_number().over(Window.partitionBy(geometry, "_flux", "_proven").orderBy(*order, F.xxhash64(*held)))
+    reason = (
+        F.when(~passed, "not certified").when(~F.col("_proven"), "no evidence for the metric").when(F.col("_stored"), "already stored").when(place > 1, "repeated in the submission")
+    )
+    both = both.withColumn("reason", reason).select(*held, "reason")
+    return both.where("reason is null").drop("reason"), both.where("reason is not null")
 
 
 def fully_certified(manifest: dict, registry: VerifierRegistry | None = None) -> bool:

@@ -151,15 +151,6 @@ def run_fields(spark, d):
     return J.with_run_fields(rows, runs)
 
 
-@query("""select label, exists (select 1 from embeddings e where e.label = f.label and list_transform(e.embedding, lambda x: cast(round_even(cast(x as double) * 8, 0) as integer)) = (select list_transform(embedding, lambda x: cast(round_even(cast(x as double) * 8, 0) as integer)) from embeddings where vec_id = 7)) found
- from (select distinct label from embeddings) f""")
-def flux_exists(spark, d):
-    v = _t(spark, d, "embeddings").select("vec_id", "label", ids.canonical_flux(F.transform("embedding", lambda x: x.cast("double") * 8)).alias("flux"))
-    flux = v.where("vec_id = 7").first()["flux"]
-    labels = [r["label"] for r in v.select("label").distinct().collect()]
-    return spark.createDataFrame([(x, J.exists(v, flux, label=x)) for x in labels], "label int, found boolean")
-
-
 # --- sums ---------------------------------------------------------------------------
 
 
@@ -221,12 +212,6 @@ def mixed_files(spark, d):
     return G.distinct_identities(_t(spark, d, "lineitem"), "l_partkey", ["l_suppkey", "l_returnflag"])
 
 
-@query("select o_custkey % 10 k, max(o_orderkey) + 1 next_id from orders group by 1 having k in (0, 3)")
-def next_ids(spark, d):
-    o = _t(spark, d, "orders")
-    return spark.createDataFrame([(k, G.next_id(o.where(F.col("o_custkey") % 10 == k), "o_orderkey")) for k in (0, 3)], "k long, next_id long")
-
-
 # --- validation and certification ---------------------------------------------------
 
 

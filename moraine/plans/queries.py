@@ -291,9 +291,9 @@ def repr_hash(spark, d):
     return s.select(F.col("s_suppkey").alias("k"), ids.normal_form_hash(m).alias("h"))
 
 
-@query("""select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) + 99 as id from orders where o_orderstatus = 'P'""")
+@query("""select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) + 99 as id from orders""")
 def contiguous_ids(spark, d):
-    o = _t(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice")
+    o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return W.number_rows(o, ["o_totalprice", "o_orderkey"], 100).select("o_orderkey", "id")
 
 

@@ -18,7 +18,7 @@ from moraine.operators.sets import union_all
 from moraine.operators.windows import first_of, latest, merge_logs
 from moraine.schemas import RUN_CATALOG, RUN_LOG, SESSION_ROW, conform
 from moraine.sources.catalog import exists
-from moraine.sources.commits import COMPACT, CommitLog, most, with_seq
+from moraine.sources.commits import COMPACT, CommitLog, Tops, with_seq
 from moraine.sources.shared import file_system, kept, names_in
 
 ENTITY = ("scope", "ks_id", "coni_class_id", "coni_id")
@@ -30,6 +30,7 @@ class RunLog:
     def __init__(self, spark: SparkSession, path: str, compact_every: int = COMPACT) -> None:
         self.spark, self.path = spark, path
         self.log = CommitLog(spark, path, RUN_LOG, compact_every)
+        self.tops = Tops(self.log, "attempt_index", ENTITY)
 
     def read(self) -> DataFrame:
         return self.log.read()
@@ -43,7 +44,7 @@ class RunLog:
         key = dict(zip(ENTITY, (scope, ks_id, coni_class_id, coni_id), strict=True))
         event = key | {"run_id": run_id or uuid.uuid4().hex, "status": "running", "started_at": now or datetime.now(timezone.utc)} | more
         self._check(event)
-        return self.log.commit(lambda old, rows: event | {"attempt_index": (most(old, rows, "attempt_index", key) or 0) + 1})["run_id"]
+        return self.log.commit(lambda old, rows: event | {"attempt_index": (self.tops.of(old, rows, key) or 0) + 1})["run_id"]
 
     def finish(self, run_id: str, status: str = "done", now: datetime | None = None, **more) -> None:
         """A second event of the run, its attempt and start carried along."""

@@ -313,7 +313,8 @@ def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def shard_catalog(spark: SparkSession, root: str, strict: bool = False) -> tuple[DataFrame, int]:
     """(one row for each shard, sorted by path; how many could not be read).
 
-    Keys come from the rows' own first values, versions from metadata where there are any.  A
+    Keys come from the rows' own first values, or from the path of a table that is partitioned by
+    them, versions from metadata where there are any.  A
     shard of another version is told, or an error with ``strict``.
     """
     from moraine.sources.catalog import list_files
@@ -333,9 +334,11 @@ def shard_catalog(spark: SparkSession, root: str, strict: bool = False) -> tuple
     readable = [r[0] for r in good.select("path").collect()]  # one row for each file
     if not readable:
         return spark.createDataFrame([], SHARD_CATALOG), bad
-    keys = spark.read.schema(PRODUCTION).parquet(*readable).groupBy(F.col("_metadata.file_path").alias("p")).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("run_id", "geometry_id", *GEOMETRY_KEYS)))
+    keys = spark.read.schema(PRODUCTION).parquet(*readable).groupBy(F.col("_metadata.file_path").alias("p")).agg(*(F.first(c, ignorenulls=True).alias(f"_{c}") for c in ("run_id", "geometry_id", *GEOMETRY_KEYS)))
     both = good.join(keys, _plain("path") == _plain("p"), "left")
-    out = both.select("path", "run_id", "geometry_id", *GEOMETRY_KEYS, version.alias("schema_version"), "n_rows", F.array_join("columns", ",").alias("columns"))
+    own = [F.coalesce(F.col(f"_{c}"), _of_path(c, F.col("path"))).alias(c) if c in PATH_KEYS else F.col(f"_{c}").alias(c) for c in ("run_id", "geometry_id", *GEOMETRY_KEYS)]
+    there = F.array_union("columns", F.array_compact(F.array(*(F.when(_of_path(c, F.col("path")).isNotNull(), c) for c in PATH_KEYS))))
+    out = both.select("path", *own, version.alias("schema_version"), "n_rows", F.array_join(there, ",").alias("columns"))
     return out.orderBy("path"), bad
 
 
@@ -356,6 +359,7 @@ def query_shards(spark: SparkSession, catalog: DataFrame, columns: Sequence[str]
         df = conform(df.select("*", place), PRODUCTION)
     else:
         df = df.select("*", place)
+    df = df.withColumns({c: F.coalesce(F.col(c), _of_path(c, F.col("_path"))) for c in PATH_KEYS if c in df.columns})
     wanted = {c: v for c, v in {"is_susy": is_susy, "cert_status": cert_status, "solver_name": solver_name}.items() if v is not None and c in df.columns}
     if wanted:
         # shards of one run share a file name, so a shard is known by its whole path
@@ -370,6 +374,14 @@ def query_shards(spark: SparkSession, catalog: DataFrame, columns: Sequence[str]
     return df.select(*present)
 
 
+#: Columns that a partitioned table has in its paths.
+PATH_KEYS = {"run_id": "string", "h11": "int", "h12": "int"}
+
+
+def _of_path(key: str, path: Column) -> Column:
+    return F.nullif(F.regexp_extract(path, f"/{key}=([^/]+)/", 1), F.lit("")).cast(PATH_KEYS[key])
+
+
 def _plain(path: str) -> Column:
     """A path without the scheme of local files, which Spark and a catalogue write differently."""
     return F.regexp_replace(F.col(path), "^file:/+", "/")
