@@ -277,7 +277,7 @@ def _ddl(schema: pa.Schema) -> str:
 def segments_of(docs: DataFrame, keep: Scratch, paths: tuple[str, str]) -> DataFrame:
     """Coded documents and dictionaries of all blocks, written once: a block's number is of this writing."""
     cuts = Tokenizers(*paths).cuttable()
-    return keep.put(docs.mapInArrow(functools.partial(_code, cuts=cuts), _ddl(_CODED)))
+    return keep.put(docs.mapInArrow(functools.partial(_code, cuts=cuts), _ddl(_CODED)), "zstd")
 
 
 def _taken(entries: DataFrame, texts: DataFrame, aligned: DataFrame, keep: Scratch) -> DataFrame | None:
@@ -318,7 +318,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
         coded = segments_of(ids_and_text(docs, id_col, text_col), keep, paths)
         entries, texts = coded.where("local is not null").select("block", "local", "segment", "times"), coded.where("row is not null").select(F.col("block").alias("of"), "doc_id", "codes")
         distinct = entries.groupBy("segment").agg(F.sum("times").alias("times"))
-        aligned = keep.put(distinct.mapInArrow(functools.partial(_align, paths=paths), _ddl(_ALIGNED)).withColumn("gid", F.monotonically_increasing_id()))
+        aligned = keep.put(distinct.mapInArrow(functools.partial(_align, paths=paths), _ddl(_ALIGNED)).withColumn("gid", F.monotonically_increasing_id()), "zstd")
         release(spark)
         taken = _taken(entries, texts, aligned, keep)
         counted = aligned if taken is None else aligned.join(bounded(taken, 48), "segment", "left").withColumn("times", F.col("times") - F.coalesce("taken", F.lit(0)))
@@ -329,7 +329,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
         release(spark)
         # segments that only texts without tokens have are in no pair
         of = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-        worth = keep.put(aligned.select("segment", "gid", "n_a", "groups").join(sums, "gid", "left").select("segment", "n_a", "groups", of("best"), of("total")))
+        worth = keep.put(aligned.select("segment", "gid", "n_a", "groups").join(sums, "gid", "left").select("segment", "n_a", "groups", of("best"), of("total")), "zstd")
         keep.drop(aligned, sums)
         release(spark)
         parts = []

@@ -76,10 +76,10 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.base, self.count = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, codec: str | None = None) -> DataFrame:
         path = f"{self.base}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = [path]
         return out
