@@ -5,8 +5,11 @@ lower case, each hashed into ``BUCKETS``.  A document has a term or has it not.
 scores documents by a weight for each term and by the product of two short vectors for each
 pair of terms, so that two terms together can mean what neither does alone.
 
+The machine has the terms whose share differs between the labels, and those of pairs that
+differ though their terms may not: the pairs of ``PAIRED`` terms are all counted.
+
 The model is fitted on the driver on at most ``LABELLED`` labelled documents, those of the
-least hash of their id; all else covers every document and every word.
+least hash of their id, of ``FIT_BYTES`` of text; all else covers every document and every word.
 """
 
 from __future__ import annotations
@@ -19,9 +22,13 @@ from pyspark.sql import functions as F
 from moraine.llm.textkit import ALNUM, U64, batch, chunks, cut, doc_of, ids_and_text, mix, only, remainder, short_batches, thinned, word_hashes, words
 
 BUCKETS = 1 << 22
-#: Bounds of the fit: labelled documents, bytes of each (longer ones are not learned from), and
-#: terms that the model may use.
-LABELLED, LONGEST, TERMS = 8000, 100_000, 1024
+#: Bounds of the fit: labelled documents, bytes of each (longer ones are not learned from) and of
+#: all, and terms that the model may use, half of them for their own share.
+LABELLED, LONGEST, FIT_BYTES, TERMS = 8000, 100_000, 64 << 20, 2048
+#: Terms whose pairs are counted: those that part the documents most evenly.
+PAIRED = 4096
+#: How far from chance, in standard deviations, the share of a term and of a pair must be.
+TERM_Z, PAIR_Z = 4, 14
 PREFIXES = (4, 5)
 FACTORS, ROUNDS = 4, 250
 THRESHOLD = 0.3
@@ -66,11 +73,47 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(y, -30, 30)))
 
 
+def _paired(doc: np.ndarray, which: np.ndarray, seen: np.ndarray, label: np.ndarray, share: float, known: np.ndarray) -> np.ndarray:
+    """Terms, not ``known`` ones, of pairs of terms that stand together in documents of one label more than by chance.
+
+    A pair of two known terms is the machine's anyway; of the others those furthest from chance give
+    their terms, until ``TERMS`` are there.
+    """
+    n = len(label)
+    even = np.minimum(seen, n - seen)
+    terms = np.lexsort((np.arange(len(seen)), -even))[:PAIRED]
+    terms = terms[even[terms] >= 10]
+    column = np.full(len(seen), -1)
+    column[terms] = np.arange(len(terms))
+    used = column[which] >= 0
+    x = np.zeros((n, len(terms)), np.float32)
+    x[doc[used], column[which][used]] = 1
+    fresh = ~np.isin(terms, known)
+    best: list[tuple[float, int, int]] = []
+    for a in range(0, len(terms), 512):  # a part of the pairs at a time
+        part = x[:, a : a + 512]
+        both, positive = part.T @ x, part[label == 1].T @ x[label == 1]
+        z = np.abs(positive - both * share) / np.sqrt(np.maximum(both, 1) * share * (1 - share))
+        later = np.arange(len(terms))[None, :] > np.arange(a, a + part.shape[1])[:, None]
+        # two terms that nearly always stand together are one
+        apart = both < 0.9 * np.minimum(seen[terms][None, :], seen[terms[a : a + 512]][:, None])
+        i, j = np.nonzero(later & apart & (both >= 10) & (z >= PAIR_Z) & (fresh[None, :] | fresh[a : a + 512][:, None]))
+        top = np.argsort(-z[i, j], kind="stable")[:TERMS]
+        best += [(-float(z[p, q]), int(p) + a, int(q)) for p, q in zip(i[top].tolist(), j[top].tolist(), strict=True)]
+    out: dict[int, None] = {}
+    for _, p, q in sorted(best):
+        for t in (p, q):
+            if fresh[t] and len(known) + len(out) < TERMS:
+                out.setdefault(int(terms[t]))
+    return np.array(list(out), np.int64)
+
+
 def fit(sets: list[np.ndarray], label: np.ndarray) -> Machine:
     """A machine from the distinct buckets of each labelled document.
 
     Terms in at least five documents whose share differs most between the labels (by z) are
-    used.  With no labelled documents, or labels all alike, the score is that label's share.
+    used, and those of pairs whose share does.  With no labelled documents, or labels all alike,
+    the score is that label's share.
     """
     label = label.astype(np.float64)
     n, share = len(label), float(label.mean()) if len(label) else 0.0
@@ -84,7 +127,8 @@ def fit(sets: list[np.ndarray], label: np.ndarray) -> Machine:
     expected = seen * share
     z = (positive - expected) / np.sqrt(expected * (1 - share) * (1 - seen / (n + 1)) + 1e-9)
     order = np.lexsort((buckets, -np.abs(z)))
-    pick = np.sort(order[(seen[order] >= 5) & (np.abs(z[order]) >= 4)][:TERMS])
+    pick = order[(seen[order] >= 5) & (np.abs(z[order]) >= TERM_Z)][: TERMS // 2]
+    pick = np.sort(np.concatenate([pick, _paired(doc, which, seen, label, share, pick)]))
     if not len(pick):
         return none
     column = np.full(len(buckets), -1)
@@ -120,6 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null").where(remainder("id", 4) != 2)
     known = thinned(cut(known.groupBy("id").agg(F.max("label").alias("label"))), most, "id")  # a bounded table
     texts = ids_and_text(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("id")).where(F.octet_length("text") <= LONGEST).select("doc_id", "text", "label", F.xxhash64("text").alias("h"))
+    texts = cut(texts)  # a bounded table; its bytes bound what comes to the driver
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > FIT_BYTES:
+        texts = texts.where(F.pmod(F.xxhash64(F.lit("bytes"), "doc_id"), F.lit(1 << 30)) < F.lit(int(FIT_BYTES / size * (1 << 30))))
     out = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("h", pa.int64()), ("buckets", pa.binary())])
 
     def run(batches):

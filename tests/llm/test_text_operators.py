@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,53 @@ def test_machine_learns_pairs_that_no_weights_can():
     assert ((y > 0) == label)[two].mean() > 0.99 > 0.9 > ((x @ linear + b > 0) == label)[two].mean()
 
 
+def test_machine_learns_pairs_of_neutral_terms():
+    """Two terms that tell nothing alone and all together, among many others: toxic if both or neither is there."""
+    rng = np.random.default_rng(2)
+    flags = rng.random((8000, 60)) < rng.uniform(0.1, 0.5, 60)
+    flags[:, :2] = rng.random((8000, 2)) < 0.5
+    label = (flags[:, 0] == flags[:, 1]).astype(int)
+    m = toxicity.fit([np.flatnonzero(f) + 5 for f in flags[:6000]], label[:6000])
+    assert set(m.buckets.tolist()) >= {5, 6} and len(m.buckets) < 10
+    x = flags[6000:, m.buckets - 5].astype(float)
+    y = m.bias + x @ m.weight + 0.5 * (((x @ m.vector) ** 2).sum(1) - (x**2) @ (m.vector**2).sum(1))
+    assert ((y > 0) == label[6000:]).mean() > 0.97
+
+
+def test_held_out_documents_are_not_learned_from(spark):
+    """Labels of held-out rows, and languages, are turned round, and nothing changes; those of others do."""
+    rnd = random.Random(4)
+    base = ["sun", "rain", "tree", "road", "cloud", "river", "stone", "field"]
+    rows = [(k, " ".join([*(rnd.choice(base) for _ in range(20)), *(["grumbler"] * (k % 3 == 0))]), int(k % 3 == 0)) for k in range(300)]
+    docs = table(spark, [t for _, t, _ in rows])
+    held = {k for k, *_ in rows if zlib.crc32(str(k).encode()) % 4 == 2}
+    fit = lambda turn: toxicity.train(docs, spark.createDataFrame([(k, 1 - y if turn(k) else y) for k, _, y in rows], "doc_id long, toxic int"))
+    plain, other, all_ = fit(lambda k: False), fit(lambda k: k in held), fit(lambda k: True)
+    assert plain.bias == other.bias and (plain.weight == other.weight).all() and plain.bias != all_.bias
+    out = by_id(queries_of(spark, docs, "op2_toxicity", labels=rows))
+    assert {k for k, r in out.items() if r["held_out"]} == held and len(out) == 300
+
+
+def test_held_out_languages_are_not_learned_from(spark):
+    texts = [("der die das und ist nicht " if k % 2 else "the of and is not a ") * 5 + f"w{k}" for k in range(200)]
+    lang = ["de" if k % 2 else "en" for k in range(200)]
+    held = {k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 0}
+    turned = [("xx" if k in held else x) for k, x in enumerate(lang)]
+    got = by_id(queries_of(spark, table(spark, texts, lang=turned), "op4_language"))
+    assert {k for k, r in got.items() if r["held_out"]} == held
+    assert all(got[k]["lang_pred"] == lang[k] for k in range(200))
+
+
+def queries_of(spark, docs, name, labels=()):
+    """A registered query over these documents."""
+    import tempfile
+
+    d = tempfile.mkdtemp()
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(k, 0, y) for k, _, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return queries.queries()[name](spark, d)
+
+
 def terms_brute(text):
     """The buckets of a text's terms."""
     own = lambda w: textkit.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
