@@ -13,16 +13,19 @@ from collections.abc import Callable, Iterable
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moraine.errors import ValidationError
 from moraine.functions import text as X
 from moraine.operators.joins import identity_columns
+from moraine.operators.sets import union_all
 from moraine.operators.vetting import split_policy, validate_rows
-from moraine.schemas import FILE_CATALOG, FLOOR_COLUMNS, conform
+from moraine.schemas import FILE_CATALOG, FLOOR_COLUMNS, PRODUCTION, conform
 from moraine.sources.catalog import list_files
 from moraine.sources.shards import footers
+from moraine.sources.shared import kept
 
 SCHEMA_VERSION = 1
 IDENTITY = ("ks_id", "triang_id", "cicy_id")
@@ -57,49 +60,67 @@ def _reserved(path: str) -> bool:
     return name in X.RESERVED_NAMES or name.startswith(("_", "."))
 
 
-def file_errors(path: str, told: dict, rows: DataFrame | None, physics: str = "off", model=None, tadpole: float | None = None, tol: float = 1e-6) -> list[str]:
-    """What is wrong with one file; ``told`` is its footer row.  Physics: off, auto (warn) or explicit (needs a model)."""
-    name = path.rpartition("/")[2]
+def _name_errors(path: Column) -> list[tuple[Column, str]]:
+    """What a path alone tells."""
+    name = F.element_at(F.split(path, "/"), -1)
+    stem = F.regexp_replace(name, r"\.parquet$", "")
+    return [
+        (name.isin(list(X.RESERVED_NAMES)) | F.substring(name, 1, 1).isin("_", "."), "reserved name"),
+        (F.contains(path, F.lit("/community/")) & ~F.contains(stem, F.lit("_")), "a submission's name starts with its user"),
+        (~F.rlike(stem, F.lit(X.LABEL_PATTERN)), "the label is no slug"),
+    ]
+
+
+def _by_schema(spark: SparkSession, files: DataFrame) -> list[DataFrame]:
+    """Rows of files with their path, cast to the types of the floor columns; one frame for each schema that files have."""
     out = []
-    if _reserved(path):
-        out.append("reserved name")
-    stem = re.sub(r"\.parquet$", "", name)
-    if "/community/" in path and "_" not in stem:
-        out.append("a submission's name starts with its user")
-    if not re.fullmatch(X.LABEL_PATTERN[1:-1], stem):
-        out.append("the label is no slug")
-    if told.get("error"):
-        return [*out, "cannot be read"]
-    version = (told.get("metadata") or {}).get("schema_version")
-    if version != str(SCHEMA_VERSION):
-        out.append(f"schema version {version}")
-    missing = [c for c in FLOOR_COLUMNS if c not in told["columns"]]
-    if missing:
-        return [*out, f"missing columns {missing}"]
-    if rows is None:
-        return out
-    keys = [c for c in IDENTITY if c in rows.columns]
-    ids_ = rows.select(*keys).distinct().limit(3).collect() if keys else []
-    if keys and len(ids_) != 1:
-        out.append("more than one model" if ids_ else "no rows")
-    elif not keys or all((v is None or v < 0) for v in ids_[0]):
-        out.append("no identity")
-    if physics == "explicit" and model is None:
-        out.append("no model for the physics checks")
-    report = validate_rows(rows, tadpole=tadpole if physics != "off" else None, tol=tol if physics != "off" else None, susy_only=True)
-    bad = report.where("not passed").select(F.explode("errors").alias("e")).groupBy("e").count().collect()
-    return out + [f"{r['count']} rows: {r['e']}" for r in sorted(bad, key=lambda r: r["e"])]
-
-
-def validate_files(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """path, n_rows, errors and passed of each file."""
-    foot = {r["path"]: r.asDict() for r in footers(spark, paths).collect()}  # one row for each file
-    rows = []
-    for p, told in sorted(foot.items()):
-        df = None if told["error"] else spark.read.parquet(p)
-        errors = file_errors(p, told, df, **options)
-        rows.append((p, told["n_rows"], errors, not errors))
-    return spark.createDataFrame(rows, "path string, n_rows long, errors array<string>, passed boolean")
+    for r in files.groupBy("columns", "types").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():  # a row for each schema
+        wanted = [c for c in (*FLOOR_COLUMNS, *IDENTITY, "is_susy", "N_flux", "residual") if c in r["columns"]]
+        df = spark.read.parquet(*r["paths"])
+        types = {f.name: f.dataType for f in PRODUCTION.fields} | {"flux": T.ArrayType(T.DoubleType()), "N_flux": T.DoubleType()} | {k: T.LongType() for k in IDENTITY}
+        # identity is asked of every file, the others only where they are
+        held = [F.col(c).try_cast(types[c]).alias(c) if c in wanted else F.lit(None).cast(types[c]).alias(c) for c in (*wanted, *(k for k in IDENTITY if k not in wanted))]
+        out.append(df.select(_plain_path(F.col("_metadata.file_path")).alias("_file"), *held))
+    return out
+
+
+def _plain_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def validate_files(spark: SparkSession, paths: list[str], physics: str = "off", model=None, tadpole: float | None = None, tol: float = 1e-6) -> DataFrame:
+    """path, n_rows, errors and passed of each file, from footers and one scan of all rows.
+
+    Files of one schema are read together; a column that is of another type somewhere is cast,
+    and what cannot be is null.  Physics: off, auto (warn) or explicit (needs a model).
+    """
+    foot = kept(footers(spark, paths))
+    version = F.try_element_at("metadata", F.lit("schema_version"))
+    missing = F.array_except(F.array(*map(F.lit, FLOOR_COLUMNS)), F.col("columns"))
+    readable = F.col("error").isNull()
+    told = foot.select(
+        "path", "n_rows", readable.alias("readable"), (F.size(missing) == 0).alias("whole"), F.arrays_overlap("columns", F.array(*map(F.lit, IDENTITY))).alias("keyed"),
+        F.array_compact(F.array(
+            *(F.when(bad, message) for bad, message in _name_errors(F.col("path"))), F.when(~readable, "cannot be read"),
+            F.when(readable & ~version.eqNullSafe(F.lit(str(SCHEMA_VERSION))), F.concat(F.lit("schema version "), F.coalesce(version, F.lit("None")))),
+            F.when(readable & (F.size(missing) > 0), F.concat(F.lit("missing columns ['"), F.array_join(missing, "', '"), F.lit("']"))),
+            F.when(readable & (F.size(missing) == 0) & F.lit(physics == "explicit" and model is None), "no model for the physics checks"),
+        )).alias("told"),
+    )
+    parts = _by_schema(spark, foot.where(readable & (F.size(missing) == 0)))
+    if not parts:
+        return told.select("path", "n_rows", F.col("told").alias("errors"), (F.size("told") == 0).alias("passed"))
+    checks = {"tadpole": tadpole if physics != "off" else None, "tol": tol if physics != "off" else None, "susy_only": True}
+    report = kept(union_all(*(validate_rows(p, **checks).select("_file", *IDENTITY, "errors") for p in parts)))
+    models = report.groupBy("_file").agg(F.count_distinct(F.struct(*IDENTITY)).alias("models"), F.max(F.greatest(*(F.coalesce(F.col(k), F.lit(-1)) for k in IDENTITY))).alias("top"))
+    counted = report.select("_file", F.explode("errors").alias("e")).groupBy("_file", "e").agg(F.count("*").alias("n"))
+    counted = counted.groupBy("_file").agg(F.sort_array(F.collect_list(F.struct("e", F.concat(F.col("n").cast("string"), F.lit(" rows: "), "e").alias("said")))).alias("counted"))
+    both = told.withColumn("_plain", _plain_path(F.col("path"))).join(models, F.col("_plain") == models["_file"], "left").drop("_file").join(counted, F.col("_plain") == counted["_file"], "left")
+    scanned = F.col("readable") & F.col("whole")
+    identity = F.when(scanned & F.col("keyed") & F.col("models").isNull(), "no rows").when(scanned & (F.col("models") > 1), "more than one model").when(scanned & (~F.col("keyed") | (F.col("top") < 0)), "no identity")
+    of_rows = F.coalesce(F.transform("counted", lambda x: x["said"]), F.array().cast("array<string>"))
+    errors = F.concat("told", F.array_compact(F.array(identity)), of_rows)
+    return both.select("path", "n_rows", errors.alias("errors"), (F.size(errors) == 0).alias("passed"))
 
 
 def change_report(report: DataFrame) -> tuple[dict, str, int]:

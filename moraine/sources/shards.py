@@ -265,7 +265,7 @@ def sync(root: str | Path, publisher: Publisher, budget: CommitBudget, max_batch
 
 
 def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One row for each file from its footer alone: path, rows, columns, key-value metadata, error.
+    """One row for each file from its footer alone: path, rows, columns and their types, key-value metadata, error.
 
     Executors read the ends of the files by ranges, so a file's size does not matter.  Files of
     a scheme that pyarrow does not know come through Spark's reader, and so whole.
@@ -276,15 +276,16 @@ def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    out = "path string, n_rows long, columns array<string>, metadata map<string,string>, error string"
+    out = "path string, n_rows long, columns array<string>, types array<string>, metadata map<string,string>, error string"
+    names = ["path", "n_rows", "columns", "types", "metadata", "error"]
 
     def told(path: str, source) -> tuple:
         try:
             x = pq.ParquetFile(source())
             kv = {k.decode(): v.decode("utf-8", "replace") for k, v in (x.schema_arrow.metadata or {}).items()}
-            return path, x.metadata.num_rows, x.schema_arrow.names, kv, None
+            return path, x.metadata.num_rows, x.schema_arrow.names, [str(t) for t in x.schema_arrow.types], kv, None
         except Exception as e:  # a file that cannot be read is reported, not fatal
-            return path, -1, [], {}, repr(e)
+            return path, -1, [], [], {}, repr(e)
 
     def opened(path: str):
         where = "file://" + re.sub("^file:/+", "/", path) if path.startswith(("/", "file:")) else path
@@ -293,11 +294,11 @@ def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     def by_range(frames: Iterable[pd.DataFrame]):
         for f in frames:
-            yield pd.DataFrame([told(p, lambda p=p: opened(p)) for p in f["path"]], columns=["path", "n_rows", "columns", "metadata", "error"])
+            yield pd.DataFrame([told(p, lambda p=p: opened(p)) for p in f["path"]], columns=names)
 
     def whole(frames: Iterable[pd.DataFrame]):
         for f in frames:
-            yield pd.DataFrame([told(p, lambda c=c: io.BytesIO(c)) for p, c in zip(f["path"], f["content"], strict=True)], columns=["path", "n_rows", "columns", "metadata", "error"])
+            yield pd.DataFrame([told(p, lambda c=c: io.BytesIO(c)) for p, c in zip(f["path"], f["content"], strict=True)], columns=names)
 
     known = [p for p in paths if p.startswith("/") or p.partition(":")[0] in ("file", "s3", "gs", "gcs", "hdfs", "abfs", "abfss")]
     other = [p for p in paths if p not in set(known)]

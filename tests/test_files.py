@@ -137,3 +137,29 @@ def test_phase_accessors(spark):
     assert len(M.with_wall_hash(df).first().wall_hash) == 32
     with pytest.raises(Exception, match="chi"):
         M.checked_phases(df.withColumn("mode", F.lit("frst")).withColumns({"ks_id": F.lit(1), "triang_id": F.lit(0), "chi": F.lit(7)})).collect()
+
+
+def test_many_files_in_one_scan(spark, tmp_path):
+    """Files of several schemas are told apart, and a type that differs is cast."""
+    d = tmp_path / "v/h12_1/ks_3_tri_4"
+    base = spark.range(3).select(F.array(F.col("id").cast("int"), F.lit(2)).alias("flux"), F.array(F.lit(1.0)).alias("moduli_re"), F.array(F.lit(1.0)).alias("moduli_im"), F.lit(0.5).alias("tau_re"), F.lit(2.0).alias("tau_im"), F.lit(3).alias("ks_id"), F.lit(4).alias("triang_id"))
+
+    def put(name, df):
+        df.coalesce(1).write.parquet(str(tmp_path / "w" / name))
+        (d / name).parent.mkdir(parents=True, exist_ok=True)
+        next((tmp_path / "w" / name).glob("part-*")).rename(d / name)
+        return str(d / name)
+
+    paths = [
+        put("a.parquet", base), put("b.parquet", base.withColumn("ks_id", F.col("ks_id").cast("long")).withColumn("flux", F.col("flux").cast("array<double>"))),
+        put("c.parquet", base.withColumn("flux", F.array(F.lit(0.5)))), put("d.parquet", base.withColumn("triang_id", F.monotonically_increasing_id())), put("e.parquet", base.drop("tau_re")),
+        put("f.parquet", base.drop("ks_id", "triang_id")), put("g.parquet", base.where("false")), put("community/h.parquet", base), put("i.parquet", base.withColumn("is_susy", F.lit(True))), put("j.parquet", base.withColumns({"is_susy": F.lit(True), "residual": F.lit(1.0)})),
+    ]
+    (d / "k.parquet").write_bytes(b"no parquet")
+    out = {r.path.rpartition("/")[2][0]: r for r in V.validate_files(spark, [*paths, str(d / "k.parquet")], physics="auto").collect()}
+    version = "schema version None"
+    assert {k: [e for e in r.errors if e != version] for k, r in out.items()} == {
+        "a": [], "b": [], "c": ["3 rows: flux is not integral"], "d": ["more than one model"], "e": ["missing columns ['tau_re']"], "f": ["no identity"], "g": ["no rows"],
+        "h": ["a submission's name starts with its user"], "i": [], "j": ["3 rows: residual over the tolerance"], "k": ["cannot be read"],
+    }
+    assert all(version in r.errors for k, r in out.items() if k != "k") and out["a"].n_rows == 3 and not out["a"].passed

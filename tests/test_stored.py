@@ -170,3 +170,14 @@ def test_physics_in_batches(spark):
     Arrays.calls = 0
     M._derived(frame, [], lambda key: Arrays(), True, 1e-6, 1024)
     assert Arrays.calls == 1
+
+
+def test_batches_of_models(spark):
+    from moraine.operators.iterate import batches
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.struct(F.col("id").alias("x")).alias("detail")).repartition(5)
+    made = list(batches(df, ["k"], 64, 100))
+    assert [len(b) for b in made] == [64] * 15 + [40] and [r.k for b in made for r in b] == list(range(1000)) and made[0][1].detail.x * 7 % 1000 == 1
+    assert list(batches(df.where("false"), ["k"])) == [] and next(batches(df, ["k"], 3, prefetch=False))[2].k == 2
+    with pytest.raises(ValueError):
+        next(batches(df, ["k"], 0))
