@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Sequence
 from functools import cached_property
 
@@ -42,7 +43,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def check_schema_version(spark: SparkSession, root: str, expected: int, dataset: str | None = None) -> int | None:
-    """The version in ``schema.json``: an error if it is another than expected, None if there is no file."""
+    """The version in ``schema.json``: an error if it is another than expected; None if there is no file, and with a warning if it tells none."""
     path = f"{root}/schema.json"
     if not exists(spark, path):
         return None
@@ -50,6 +51,9 @@ def check_schema_version(spark: SparkSession, root: str, expected: int, dataset:
     if dataset is not None and told.get("dataset") not in (None, dataset):
         raise SchemaVersionError(f"{path} is of {told.get('dataset')}, not {dataset}")
     version = told.get("schema_version")
+    if version is None:
+        warnings.warn(f"{path} tells no schema version", stacklevel=2)
+        return None
     if version != expected:
         kind = "newer" if isinstance(version, int) and version > expected else "older"
         raise SchemaVersionError(f"{path} has schema version {version}; this code reads {expected} ({kind} data)")
@@ -149,7 +153,7 @@ def rows_of_shard(df: DataFrame, shard_id: int, where=None, row: int | None = No
 
 
 def row_range(df: DataFrame, shard_id: int, row0: int, n: int) -> DataFrame:
-    """n rows of a shard from row0; row groups outside are not read."""
+    """n rows of a shard from row0.  The shard's other row groups are read too; ``rowgroups.row_range`` leaves them out."""
     return df.where((F.col("shard_id") == shard_id) & F.col("row_index").between(row0, row0 + n - 1))
 
 

@@ -389,22 +389,20 @@ def _plain(path: str) -> Column:
 
 
 def freeze(spark: SparkSession, rows: DataFrame, catalog: DataFrame, to: str, name: str, registry=None, require_certified: bool = True) -> dict:
-    """Write an immutable copy with its manifest; refused if empty, or not certified throughout."""
+    """A snapshot of the catalogue's shards as a manifest, no row copied; refused if empty, or not certified throughout.
+
+    ``rows`` are the shards' rows, which the manifest sums up.  ``snapshots.read_snapshot`` reads them as they are now.
+    """
     from moraine.operators.aggregates import content_fingerprint, manifest
     from moraine.operators.vetting import fully_certified
-    from moraine.sources.catalog import exists
+    from moraine.sources import snapshots
 
-    told = manifest(rows, catalog).first().asDict() | content_fingerprint(catalog, "path", "n_rows").first().asDict() | {"name": name, "schema_version": SCHEMA_VERSION}
+    told = manifest(rows, catalog).first().asDict() | content_fingerprint(catalog, "path", "n_rows").first().asDict() | {"schema_version": SCHEMA_VERSION}
     if not told["n_records"]:
         raise ValidationError("nothing to freeze")
     if require_certified and not fully_certified(told, registry):
         raise ValidationError("not all records are certified")
-    path = f"{to}/{name}"
-    if exists(spark, path):
-        raise FileExistsError(path)
-    rows.write.parquet(f"{path}/rows")
-    spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/manifest")
-    return told
+    return snapshots.freeze(spark, to, name, [r[0] for r in catalog.select("path").collect()], told)  # one path for each file
 
 
 def report_json(report: SyncReport) -> str:
