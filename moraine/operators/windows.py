@@ -57,6 +57,14 @@ def triangulation_ids(phases: DataFrame, polytope: Sequence[str], order: Sequenc
 
 
 def rolling_count(df: DataFrame, ts: str, seconds: int, keys: Sequence[str] = (), name: str = "n_recent") -> DataFrame:
-    """Rows of the same key in the last ``seconds``, the row's own included."""
-    frame = Window.partitionBy(*keys).orderBy(F.col(ts).cast("timestamp").cast("long")).rangeBetween(-seconds, Window.currentRow)
-    return df.withColumn(name, F.count("*").over(frame))
+    """Rows of the same key in the last ``seconds``, the row's own included.
+
+    Without keys the rows are counted by second first, so that what one task orders is a row a second.
+    """
+    second = F.col(ts).cast("timestamp").cast("long")
+    if keys:
+        frame = Window.partitionBy(*keys).orderBy(second).rangeBetween(-seconds, Window.currentRow)
+        return df.withColumn(name, F.count("*").over(frame))
+    each = df.groupBy(second.alias("_second")).agg(F.count("*").alias("_n"))
+    recent = each.select("_second", F.sum("_n").over(Window.orderBy("_second").rangeBetween(-seconds, Window.currentRow)).alias(name))
+    return df.withColumn("_at", second).join(recent, F.col("_at").eqNullSafe(F.col("_second"))).drop("_at", "_second")

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_K = {"i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "f": T.FloatType(), "s": T.StringType(), "b": T.BooleanType(), "t": T.TimestampType(), "x": T.BinaryType(), "ai": T.ArrayType(T.IntegerType()), "ad": T.ArrayType(T.DoubleType()), "al": T.ArrayType(T.LongType()), "aal": T.ArrayType(T.ArrayType(T.LongType()))}
+#: Types by the names that Spark's DDL has for them.
+_TYPES = {
+    "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "binary": T.BinaryType(), "array<int>": T.ArrayType(T.IntegerType()), "array<double>": T.ArrayType(T.DoubleType()),
+    "array<long>": T.ArrayType(T.LongType()), "array<array<long>>": T.ArrayType(T.ArrayType(T.LongType())),
+}
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType([T.StructField(n, _K[k]) for n, k in (x.split(":") for x in text.split())])
+def _schema(ddl: str) -> T.StructType:
+    """A schema from ``name type, name type``; Spark's own parser needs a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in ddl.split(","))])
 
 
 MISSING_KEY = -1
@@ -18,6 +24,7 @@ FLOOR_COLUMNS = ("flux", "moduli_re", "moduli_im", "tau_re", "tau_im")
 REQUIRED_COLUMNS = (*FLOOR_COLUMNS, "run_id", "geometry_id", "tadpole_charge", "created_at")
 CERT_COLUMNS = ("verifier_id", "cert_status", "cert_checks", "kahler_metric_min_eig", "hessian_min_eig", "mass_min_eig", "record_id")
 CERT_STATUSES = ("certified", "provisional", "invalidated")
+#: Columns that a client could forge.
 UNTRUSTED_COLUMNS = (
     "verifier_id", "cert_status", "cert_checks", "kahler_metric_min_eig", "hessian_min_eig", "mass_min_eig", "record_id",
     "is_susy", "is_isd", "residual", "n_iterations", "W_re", "W_im", "F_terms_re", "F_terms_im",
@@ -25,38 +32,38 @@ UNTRUSTED_COLUMNS = (
 )
 
 PRODUCTION = _schema(
-    "flux:ai moduli_re:ad moduli_im:ad tau_re:d tau_im:d run_id:s geometry_id:s tadpole_charge:i created_at:t "
-    "h11:i h12:i ks_id:i triang_id:i conifold_id:i cicy_id:i W_re:d W_im:d F_terms_re:ad F_terms_im:ad g_s:d mass2:ad "
-    "m_gravitino:d residual:d n_iterations:i is_susy:b is_isd:b solver_name:s solver_config_hash:s git_sha:s seed:l "
-    "wall_clock_s:f tags:s extra_data:s verifier_id:s cert_status:s cert_checks:s kahler_metric_min_eig:d hessian_min_eig:d mass_min_eig:d record_id:s"
+    "flux array<int>, moduli_re array<double>, moduli_im array<double>, tau_re double, tau_im double, run_id string, geometry_id string, tadpole_charge int, created_at timestamp, "
+    "h11 int, h12 int, ks_id int, triang_id int, conifold_id int, cicy_id int, W_re double, W_im double, F_terms_re array<double>, F_terms_im array<double>, g_s double, mass2 array<double>, "
+    "m_gravitino double, residual double, n_iterations int, is_susy boolean, is_isd boolean, solver_name string, solver_config_hash string, git_sha string, seed long, "
+    "wall_clock_s float, tags string, extra_data string, verifier_id string, cert_status string, cert_checks string, kahler_metric_min_eig double, hessian_min_eig double, mass_min_eig double, record_id string"
 )
-SHARD_CATALOG = _schema("path:s run_id:s geometry_id:s h11:i h12:i ks_id:i triang_id:i conifold_id:i cicy_id:i schema_version:i n_rows:l columns:s")
-SESSION_ROW = _schema("vacuum_id:l flux:ai moduli_re:ad moduli_im:ad tau_re:d tau_im:d W_re:d W_im:d F_terms_re:ad F_terms_im:ad N_flux:d residual:d is_susy:b tags:s extra_data:s timestamp:t")
-RUN_CATALOG = _schema("run_id:s h11:i h12:i ks_id:i triang_id:i conifold_id:i cicy_id:i model_hash:s model_name:s n_vacua:l method:s created:t metadata:s file_path:s")
+SHARD_CATALOG = _schema("path string, run_id string, geometry_id string, h11 int, h12 int, ks_id int, triang_id int, conifold_id int, cicy_id int, schema_version int, n_rows long, columns string")
+SESSION_ROW = _schema("vacuum_id long, flux array<int>, moduli_re array<double>, moduli_im array<double>, tau_re double, tau_im double, W_re double, W_im double, F_terms_re array<double>, F_terms_im array<double>, N_flux double, residual double, is_susy boolean, tags string, extra_data string, timestamp timestamp")
+RUN_CATALOG = _schema("run_id string, h11 int, h12 int, ks_id int, triang_id int, conifold_id int, cicy_id int, model_hash string, model_name string, n_vacua long, method string, created timestamp, metadata string, file_path string")
 DESIGNATED = _schema(
-    "designated_id:l h11:i h12:i ks_id:i triang_id:i conifold_id:i cicy_id:i model_hash:s model_name:s flux:ai N_flux:d is_susy:b tags:s "
-    "label:s notes:s committed_by:s commit_date:s writer_version:s source_run_id:s retracted:b retraction_reason:s retracted_at:s"
+    "designated_id long, h11 int, h12 int, ks_id int, triang_id int, conifold_id int, cicy_id int, model_hash string, model_name string, flux array<int>, N_flux double, is_susy boolean, tags string, "
+    "label string, notes string, committed_by string, commit_date string, writer_version string, source_run_id string, retracted boolean, retraction_reason string, retracted_at string"
 )
 DESIGNATED_DATA = _schema(
-    "designated_id:l flux:ai moduli_re:ad moduli_im:ad tau_re:d tau_im:d W_re:d W_im:d F_terms_re:ad F_terms_im:ad N_flux:d g_s:d mass2:ad "
-    "m_gravitino:d residual:d is_susy:b tags:s extra_data:s label:s committed_by:s commit_date:s"
+    "designated_id long, flux array<int>, moduli_re array<double>, moduli_im array<double>, tau_re double, tau_im double, W_re double, W_im double, F_terms_re array<double>, F_terms_im array<double>, N_flux double, g_s double, mass2 array<double>, "
+    "m_gravitino double, residual double, is_susy boolean, tags string, extra_data string, label string, committed_by string, commit_date string"
 )
-RETRACTIONS = _schema("designated_id:l reason:s retracted_at:s retracted_by:s")
+RETRACTIONS = _schema("designated_id long, reason string, retracted_at string, retracted_by string")
 RUN_LOG = _schema(
-    "run_id:s scope:s ks_id:l coni_class_id:l coni_id:l attempt_index:l status:s started_at:t finished_at:t job_id:s host:s worker:s task:s "
-    "n_solutions:l n_attempted:l payload_uri:s payload_hash:s error_summary:s notes:s seq:l"
+    "run_id string, scope string, ks_id long, coni_class_id long, coni_id long, attempt_index long, status string, started_at timestamp, finished_at timestamp, job_id string, host string, worker string, task string, "
+    "n_solutions long, n_attempted long, payload_uri string, payload_hash string, error_summary string, notes string, seq long"
 )
 FILE_CATALOG = _schema(
-    "file_path:s basename:s status:s h12:l ks_id:l triang_id:l cicy_id:l model_ID:l susy:s method:s nmax:s qualifiers:s classification_source:s "
-    "label:s version:l committed_by:s n_rows:l schema_version:l checksum:s superseded_by:s retracted:b retraction_reason:s retracted_at:s uploaded_at:s"
+    "file_path string, basename string, status string, h12 long, ks_id long, triang_id long, cicy_id long, model_ID long, susy string, method string, nmax string, qualifiers string, classification_source string, "
+    "label string, version long, committed_by string, n_rows long, schema_version long, checksum string, superseded_by string, retracted boolean, retraction_reason string, retracted_at string, uploaded_at string"
 )
 GEOMETRY_CATALOG = _schema(
-    "h11:i h12:i ks_id:l triang_id:l chi:l has_gv:b n_conifolds:l D3_tadpole:l lcs_shard_id:l lcs_row_index:l extra_shard_id:l extra_row_index:l "
-    "gv_shard_id:l gv_row_index:l polytope_shard_id:l polytope_row_index:l conifold_shard_id:l conifold_row_index:l"
+    "h11 int, h12 int, ks_id long, triang_id long, chi long, has_gv boolean, n_conifolds long, D3_tadpole long, lcs_shard_id long, lcs_row_index long, extra_shard_id long, extra_row_index long, "
+    "gv_shard_id long, gv_row_index long, polytope_shard_id long, polytope_row_index long, conifold_shard_id long, conifold_row_index long"
 )
-PHASE_CATALOG = _schema("h11:l ks_id:l triang_id:l h12:l fav_N:b fav_M:b trilayer:b wall_hash:x geom_shard_id:l geom_row_index:l")
-PHASE_GEOMETRY = _schema("h11:l ks_id:l triang_id:l heights:ad intnums_coo_i:al intnums_coo_j:al intnums_coo_k:al intnums_coo_v:al c2:al c2_origin:l")
-POLYTOPE_GEOMETRY = _schema("h11:l ks_id:l polytope_hash:s vertices:aal cy_basis:al n_components:al glsm_charge_matrix:aal")
+PHASE_CATALOG = _schema("h11 long, ks_id long, triang_id long, h12 long, fav_N boolean, fav_M boolean, trilayer boolean, wall_hash binary, geom_shard_id long, geom_row_index long")
+PHASE_GEOMETRY = _schema("h11 long, ks_id long, triang_id long, heights array<double>, intnums_coo_i array<long>, intnums_coo_j array<long>, intnums_coo_k array<long>, intnums_coo_v array<long>, c2 array<long>, c2_origin long")
+POLYTOPE_GEOMETRY = _schema("h11 long, ks_id long, polytope_hash string, vertices array<array<long>>, cy_basis array<long>, n_components array<long>, glsm_charge_matrix array<array<long>>")
 
 
 def conform(df, schema: T.StructType, keep_unknown: bool = True):

@@ -142,3 +142,9 @@ def test_rows_of_uneven_width_keep_their_numbers(spark, tmp_path, adaptive, part
         for c, v in held.items():
             spark.conf.set(c, v)
     assert len(got) == 100_000 and list(numbered["place"]) == list(range(7, 100_007)) and sorted(numbered["n"].unique()) == [1, 768]
+
+
+def test_rolling_counts_without_keys(spark):
+    df = spark.createDataFrame([(k, f"2024-01-01 00:00:{s:02d}") for k, s in enumerate([0, 0, 5, 9, 30])] + [(9, None)], "id int, ts string")
+    assert {r.id: r.n_recent for r in W.rolling_count(df, "ts", 5).collect() if r.id < 9} == {0: 2, 1: 2, 2: 3, 3: 2, 4: 1}
+    assert W.rolling_count(df, "ts", 5).count() == 6
