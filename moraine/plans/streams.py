@@ -45,11 +45,11 @@ def stream_budget(spark, d):
     return spark.read.parquet(f"{root}/rows").drop("batch")
 
 
-@query("""select date_trunc('hour', ts) "start", event_type, count(*) n from events group by 1, 2""")
+@query("""select cast(epoch(date_trunc('hour', ts)) as bigint) start_s, event_type, count(*) n from events group by 1, 2""")
 def stream_windows(spark, d):
     """Events by type and hour, as a stream that keeps all windows."""
     root = _place(spark, "windows")
-    counts = IN.windowed_counts(_stream(spark, d), "ts", "event_type", "1 hour").select("start", "event_type", "n")
+    counts = IN.windowed_counts(_stream(spark, d), "ts", "event_type", "1 hour").select(F.col("start").cast("long").alias("start_s"), "event_type", "n")
 
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows")
