@@ -156,6 +156,8 @@ class Rows(Arrays):
     """The same, of single rows."""
 
     def __getattribute__(self, name):
+        if name.startswith("__"):  # what pickling asks for
+            return object.__getattribute__(self, name)
         of = getattr(Arrays(), name)
         return lambda *x: of(*(np.asarray(v)[None] for v in x))[0]
 
