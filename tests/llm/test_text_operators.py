@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -727,6 +728,27 @@ def test_decontamination(spark, block):
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest() and (i in clean) == (not hit)
 
 
+@pytest.mark.parametrize("window", [1, 3, 8, 10, 13])
+def test_windows_of_a_benchmark(window):
+    rnd = random.Random(window)
+    for _ in range(40):
+        rows = [(str(rnd.randrange(6)), " ".join(rnd.choice(["a", "B", "c.", "dd", "é"]) for _ in range(rnd.choice([0, 1, 2, 4, 9, 12, 20])))) for _ in range(rnd.randrange(8))]
+        want = {}
+        for name, x in rows:
+            v = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower())
+            m = min(window, len(v))
+            for s in range(len(v) - m + 1) if m else ():
+                want.setdefault(" ".join(v[s : s + m]).encode(), []).append((name, s))
+        made = decontam.TestSuffixes(rows, window)
+        got = {made.key(k): sorted((made.names[i], o) for i, o in made.places(k)) for k in range(len(made.first))}
+        assert len(got) == len(made.first) and got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_table_of_a_benchmark_is_some_times_its_text():
+    rows = [(str(k), " ".join(f"w{k * 7919 * j % 20011}" for j in range(1, 300))) for k in range(300)]
+    assert len(pickle.dumps(decontam.TestSuffixes(rows, 10))) < 10 * sum(len(x) for _, x in rows)
+
+
 def test_rows_of_one_id_in_several_blocks(spark):
     docs = table(spark, ["word0 alpha beta zz", "one two three four", "clean text", "one two three four"], [1, 1, None, None])
     bench = spark.createDataFrame([("a", "alpha beta"), ("b", "two three four"), ("c", "none of these")], "item_id string, text string")
