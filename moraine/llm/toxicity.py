@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.textkit import ALNUM, U64, batch, chunks, cut, doc_of, ids_and_text, mix, only, remainder, short_batches, thinned, word_hashes, words
+from moraine.llm.textkit import ALNUM, U64, batch, chunks, cut, doc_of, ids_and_text, mix, only, remainder, short_batches, text_bytes, thinned, word_hashes, words
 
 BUCKETS = 1 << 22
 #: Bounds of the fit: labelled documents, bytes of each (longer ones are not learned from) and of
@@ -73,6 +73,17 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(y, -30, 30)))
 
 
+def _has(doc: np.ndarray, which: np.ndarray, pick: np.ndarray, n: int, n_terms: int, kind: type) -> np.ndarray:
+    """A row for each document, a column for each term of ``pick``: one if the document has the term."""
+    column = np.full(n_terms, -1, np.int32)
+    column[pick] = np.arange(len(pick))
+    at = column[which]
+    used = np.flatnonzero(at >= 0)
+    x = np.zeros((n, len(pick)), kind)
+    x[doc[used], at[used]] = 1
+    return x
+
+
 def _paired(doc: np.ndarray, which: np.ndarray, seen: np.ndarray, label: np.ndarray, share: float, known: np.ndarray) -> np.ndarray:
     """Terms, not ``known`` ones, of pairs of terms that stand together in documents of one label more than by chance.
 
@@ -83,18 +94,19 @@ def _paired(doc: np.ndarray, which: np.ndarray, seen: np.ndarray, label: np.ndar
     even = np.minimum(seen, n - seen)
     terms = np.lexsort((np.arange(len(seen)), -even))[:PAIRED]
     terms = terms[even[terms] >= 10]
-    column = np.full(len(seen), -1)
-    column[terms] = np.arange(len(terms))
-    used = column[which] >= 0
-    x = np.zeros((n, len(terms)), np.float32)
-    x[doc[used], column[which][used]] = 1
+    x = _has(doc, which, terms, n, len(seen), np.uint8)
     fresh = ~np.isin(terms, known)
     best: list[tuple[float, int, int]] = []
     for a in range(0, len(terms), 512):  # a part of the pairs at a time
-        part = x[:, a : a + 512]
-        both, positive = part.T @ x, part[label == 1].T @ x[label == 1]
+        size = min(512, len(terms) - a)
+        both, positive = np.zeros((2, size, len(terms)), np.float32)
+        for d in range(0, n, 1000):  # and of the documents; sums of ones are exact
+            rows = x[d : d + 1000].astype(np.float32)
+            of_label = rows[label[d : d + 1000] == 1]
+            both += rows[:, a : a + 512].T @ rows
+            positive += of_label[:, a : a + 512].T @ of_label
         z = np.abs(positive - both * share) / np.sqrt(np.maximum(both, 1) * share * (1 - share))
-        later = np.arange(len(terms))[None, :] > np.arange(a, a + part.shape[1])[:, None]
+        later = np.arange(len(terms))[None, :] > np.arange(a, a + size)[:, None]
         # two terms that nearly always stand together are one
         apart = both < 0.9 * np.minimum(seen[terms][None, :], seen[terms[a : a + 512]][:, None])
         i, j = np.nonzero(later & apart & (both >= 10) & (z >= PAIR_Z) & (fresh[None, :] | fresh[a : a + 512][:, None]))
@@ -122,7 +134,7 @@ def fit(sets: list[np.ndarray], label: np.ndarray) -> Machine:
     if not n or share in (0.0, 1.0):
         return none
     buckets, which, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(n), [len(s) for s in sets])
+    which, doc = which.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     positive = np.bincount(which, label[doc], len(buckets))
     expected = seen * share
     z = (positive - expected) / np.sqrt(expected * (1 - share) * (1 - seen / (n + 1)) + 1e-9)
@@ -131,11 +143,8 @@ def fit(sets: list[np.ndarray], label: np.ndarray) -> Machine:
     pick = np.sort(np.concatenate([pick, _paired(doc, which, seen, label, share, pick)]))
     if not len(pick):
         return none
-    column = np.full(len(buckets), -1)
-    column[pick] = np.arange(len(pick))
-    x = np.zeros((n, len(pick)), np.float32)
-    used = column[which] >= 0
-    x[doc[used], column[which][used]] = 1
+    x = _has(doc, which, pick, n, len(buckets), np.float32)
+    del doc, which
     rng = np.random.default_rng(7)
     w, v, b = np.zeros(len(pick)), rng.normal(0, 0.02, (len(pick), FACTORS)), bias
     params = [w, v, np.array([b])]
@@ -152,7 +161,7 @@ def fit(sets: list[np.ndarray], label: np.ndarray) -> Machine:
             s[k] = 0.99 * s[k] + 0.01 * g * g
             params[k] = params[k] - 0.05 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
     w, v, b = params
-    return Machine(buckets[pick], float(b[0]), w, v)
+    return Machine(buckets[pick].astype(np.int64), float(b[0]), w, v)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Machine:
@@ -183,8 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     rows = texts.mapInArrow(run, "doc_id long, label int, h long, buckets binary").groupBy("doc_id").agg(F.min_by(F.struct("label", "buckets"), "h").alias("x")).select("doc_id", "x.label", "x.buckets").toArrow()
     ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy()
     order = np.argsort(ids, kind="stable")
-    raw = rows.column("buckets")
-    return fit([np.frombuffer(raw[int(k)].as_py(), np.int32).astype(np.int64) for k in order], label[order])
+    data, off = text_bytes(rows.column("buckets").cast(pa.large_binary()))
+    return fit([data[off[k] : off[k + 1]].view(np.int32) for k in order], label[order])
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
