@@ -2,6 +2,8 @@
 
 import duckdb
 
+import __spark_entry__  # noqa: F401  (registers the queries)
+
 from moraine.plans.queries import ORACLES, QUERIES
 
 
