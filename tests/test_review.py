@@ -1,9 +1,13 @@
 """Queries on rows that the driver's small tables do not have, against their SQL."""
 
+import random
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-
+from moraine.operators import similarity as S
 from moraine.plans.queries import ORACLES, QUERIES
 
 
@@ -22,3 +26,46 @@ def test_conifolds_of_order_keys_over_a_million(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, 3), (2_500_000, 1, 1), (7, 1, 2), (1_200_000, 2, 1)], "l_orderkey long, l_partkey long, l_linenumber int")
     got, want = both(spark, tmp_path, "all_conifolds", lineitem=rows)
     assert got == want and dict(got)[1] == "2000007,3000001,3500000"
+
+
+def _orders(spark, n):
+    o = spark.range(n).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") * 7919 % 1511).alias("o_custkey"), F.element_at(F.array(F.lit("O"), F.lit("F")), (F.col("id") % 2 + 1).cast("int")).alias("o_orderstatus"),
+        (F.col("id") * 48271 % 499979 + 0.25).alias("o_totalprice"), F.expr("timestamp'1995-01-01' + make_dt_interval(cast(id * 31 % 720 as int))").alias("o_orderdate"),
+    )
+    return o
+
+
+@pytest.mark.parametrize("name", ["near_moduli", "near_flux", "near_tau"])
+def test_near_pairs_are_compared_by_columns(spark, tmp_path, name):
+    got, want = both(spark, tmp_path, name, orders=_orders(spark, 6000))
+    assert got == want and want
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if " Join Inner" in line]
+    assert joins and not any("lambda" in j or "zip" in j for j in joins) and "array_max" not in plan
+
+
+def test_narrow_cells_for_few_asked_rows(spark):
+    v = spark.range(8000).select(F.lit(0).alias("m"), "id", *(F.expr(f"(id * {p}) % 997 / 10d").alias(c) for c, p in (("x", 7919), ("y", 104729), ("z", 48271))))
+    f = [S.Feature(lambda p, c=c: F.col(f"{p}{c}"), 5.0) for c in "xyz"]
+    few = v.where("id % 50 = 0")
+    narrow = S.narrowed(f, few.count(), v.count())
+    assert S.candidates(few, v, ["m"], narrow).count() < 0.5 * S.candidates(few, v, ["m"], f).count()
+    assert S.narrowed(f, 8000, 8000) == f
+
+
+def test_long_vectors_go_in_blocks(spark):
+    rnd = random.Random(3)
+    rows = [(i % 2, i, [rnd.gauss(0, 1) for _ in range(40 if i % 9 else 39)] if i % 50 else None if i % 100 else []) for i in range(1200)]
+    rows += [(1, 1200 + i, [x + 0.1 for x in rows[7 * i + 1][2] or [0.0] * 40]) for i in range(40)]
+    df = spark.createDataFrame(rows, "m int, id int, flux array<float>")
+    rows = [(r.m, r.id, r.flux) for r in df.collect()]
+    far = lambda a, b: max(abs(x - y) for x, y in zip(a, b))
+    for tol in (0.2, 2.5, 4.0):
+        out = S.near_flux(df, df, ["m"], tol)
+        want = {(a[1], b[1], far(a[2], b[2])) for a in rows for b in rows if a[0] == b[0] and a[2] and b[2] and len(a[2]) == len(b[2]) and far(a[2], b[2]) <= tol}
+        got = [(r.a_id, r.b_id, r.distance) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert "array_max" not in out._jdf.queryExecution().optimizedPlan().toString()
+    gap = spark.createDataFrame([(0, 1, [1.0, None] * 10), (0, 2, [1.5, None] * 10), (0, 3, [3.0] * 20)], "m int, id int, flux array<double>")
+    assert {(r.a_id, r.b_id) for r in S.near_flux(gap, gap, ["m"], 1).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)}
