@@ -1,5 +1,6 @@
 """Queries on rows that the driver's small tables do not have, against their SQL."""
 
+import math
 import random
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
+from moraine.llm import lines
 from moraine.operators import similarity as S
 from moraine.plans.queries import ORACLES, QUERIES
 
@@ -69,3 +71,21 @@ def test_long_vectors_go_in_blocks(spark):
         assert "array_max" not in out._jdf.queryExecution().optimizedPlan().toString()
     gap = spark.createDataFrame([(0, 1, [1.0, None] * 10), (0, 2, [1.5, None] * 10), (0, 3, [3.0] * 20)], "m int, id int, flux array<double>")
     assert {(r.a_id, r.b_id) for r in S.near_flux(gap, gap, ["m"], 1).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)}
+
+
+def test_rarity_counts_every_document(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SAMPLE", 2, raising=False)
+    docs = spark.createDataFrame([(i, "common words\nline common") for i in range(40)], "d long, text string")
+    bucket = spark.range(1).select(lines._bucket(F.xxhash64(F.lit("common")))).first()[0]
+    assert lines.rarity(docs).first().steps[bucket] >> 56 == int(3 * math.log2(81))
+
+
+def test_line_verdicts_are_those_of_the_sql(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 7}\nseven eight nine ten w{i % 3} x y z", "en", "s", 1) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = __spark_entry__.queries()["op6_lines"](spark, str(tmp_path))
+    sql = __spark_entry__.oracle_sql()["op6_lines"]
+    names = [r[0] for r in c.execute(f"describe {sql}").fetchall()]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(c.execute(sql).fetchall())
