@@ -2,13 +2,15 @@
 
 import math
 import random
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from moraine.llm import lines
+from moraine.llm import lines, toxicity
 from moraine.operators import similarity as S
 from moraine.plans.queries import ORACLES, QUERIES
 
@@ -89,3 +91,46 @@ def test_line_verdicts_are_those_of_the_sql(spark, tmp_path):
     sql = __spark_entry__.oracle_sql()["op6_lines"]
     names = [r[0] for r in c.execute(f"describe {sql}").fetchall()]
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(c.execute(sql).fetchall())
+
+
+def _learned_from(rows):
+    return [(k, t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """13,000 labels, of which 9,750 are not held out, and no term tells anything: the bias is that of all."""
+    rows = [(k, "sun rain", int(k % 7 == 0)) for k in range(13000)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    own = [y for *_, y in _learned_from(rows)]
+    assert len(own) > 9000
+    assert toxicity.train(docs, labels).bias == pytest.approx(math.log((sum(own) + 0.5) / (len(own) - sum(own) + 0.5)), abs=1e-12)
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    rnd = random.Random(5)
+    rows = [(k, f"{'sun rain ' * (12000 if k % 40 == 0 else 3)}{rnd.choice(['tree', 'road'])} {'grumbler' * (k % 40 == 0)}", int(k % 40 == 0)) for k in range(400)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    score = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert score == {k: y for k, _, y in rows}
+
+
+def test_toxicity_in_parts(spark, monkeypatch):
+    """Terms and pairs are those of a fit in memory; one part gives its machine, many give one that tells the same."""
+    rnd = random.Random(6)
+    rows = []
+    for k in range(1600):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        words = [f"w{rnd.randrange(40)}" for _ in range(6)] + ["apple"] * a + ["bread"] * b
+        rnd.shuffle(words)
+        rows.append((k, " ".join(words), int(a == b)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    sets = [np.unique(toxicity.terms(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[1]) for _, t, _ in _learned_from(rows)]
+    want = toxicity.fit(sets, np.array([y for *_, y in _learned_from(rows)]))
+    one = toxicity.train(docs, labels)
+    assert one.buckets.tolist() == want.buckets.tolist() and len(want.buckets) >= 2
+    assert np.allclose(one.weight, want.weight, atol=1e-3) and np.allclose(one.vector, want.vector, atol=1e-3)
+    monkeypatch.setattr(toxicity, "PART", 300)
+    many = toxicity.train(docs, labels)
+    assert many.buckets.tolist() == want.buckets.tolist()
+    right = [r.predicted == rows[r.doc_id][2] for r in toxicity.score(docs, many, 0.5).collect()]
+    assert sum(right) > 0.95 * len(right)
