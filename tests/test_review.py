@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from moraine.llm import lines, toxicity
+from moraine.llm import lines, textkit, toxicity
 from moraine.operators import similarity as S
 from moraine.plans.queries import ORACLES, QUERIES
 
@@ -134,3 +134,20 @@ def test_toxicity_in_parts(spark, monkeypatch):
     assert many.buckets.tolist() == want.buckets.tolist()
     right = [r.predicted == rows[r.doc_id][2] for r in toxicity.score(docs, many, 0.5).collect()]
     assert sum(right) > 0.95 * len(right)
+
+
+def test_words_of_copies_are_not_put_in_order(spark, monkeypatch):
+    """Each set of four words or more is ordered and written once, however many lines have it."""
+    put, rows = textkit.Scratch.put, []
+
+    def seen(self, df, *codec):
+        out = put(self, df, *codec)
+        if {"words", "rest"} <= set(out.columns):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(textkit.Scratch, "put", seen)
+    docs = spark.createDataFrame([(i, f"one two three four five\nfour five one two three\nshort line\nsix seven eight nine w{i % 3}") for i in range(30)], "doc_id long, text string")
+    out = lines.verdicts(docs)
+    assert out.count() == 120 and out.where("removed").count() == 120 - 5
+    assert rows == [4]
