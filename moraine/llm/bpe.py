@@ -7,7 +7,8 @@ the two back.  So a state needs no more than the starts that can still grow into
 each as (bytes since the start, last token before the start).  States are numbered as they
 are met, and each transition is worked out once for a state and byte (lazy subset
 construction), then read from a table.  A token is emitted as soon as all live starts
-agree on what came before them, which needs lookahead of bounded length.
+agree on what came before them, which needs lookahead of bounded length.  The pieces of a
+block of text walk through the table together, byte by byte, in numpy.
 
 Decoding runs an incremental UTF-8 machine: an unfinished character at the end of a block
 of tokens is held back for the next block.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -24,10 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from moraine.llm.textkit import KEPT, batch, chunks, ids_and_text, word_hashes, tidy
+from moraine.llm.textkit import KEPT, batch, chunks, ids_and_text, only, word_hashes, tidy
 
-#: Bounds of a worker's memory: pieces, transducer states and pairs of tokens that it remembers.
-MOST_PIECES, MOST_STATES, MOST_PAIRS = 120_000, 120_000, 300_000
+#: Bounds of a worker's memory: pieces that left the table, transducer states and their moves, and pairs of tokens that it remembers.
+MOST_PIECES, MOST_STATES, MOST_MOVES, MOST_PAIRS = 30_000, 120_000, 1_000_000, 100_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -52,6 +54,14 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
+def _packed(state: tuple) -> bytes:
+    return struct.pack(f"{len(state)}q", *state)
+
+
+def _unpacked(key: bytes) -> tuple:
+    return struct.unpack(f"{len(key) >> 3}q", key)
+
+
 class Transducer:
     """The encoder of one vocabulary; ``encode_piece`` gives the ids of a piece of text."""
 
@@ -80,11 +90,15 @@ class Transducer:
             if len(t) == 1 or len(merge(t, ranks)) == 1:
                 self.token_at[node] = i
         self.pairs: dict[int, bool] = {}
-        self.number: dict[tuple, int] = {(-1,): 0}
-        #: Last token of the prefix, then each live start as node << 20 | token before it + 1.
-        self.state: list[tuple] = [(-1,)]
-        self.last: list[int] = [-1]
+        #: A state is the last token of the prefix, then each live start as node << 20 | token before it + 1; packed, 8 bytes each.
+        self.state: list[bytes] = [_packed((-1,))]
+        self.number: dict[bytes, int] = {self.state[0]: 0}
+        self.last = np.full(1024, -1, np.int32)
+        #: The table, sorted: state << 8 | byte, and the state after it.  ``moves`` has those of long pieces.
+        self.table, self.after = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.moves: dict[int, int] = {}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int32)
+        self.sizes[list(self.size_of)] = list(self.size_of.values())
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens that are joined last to make a token; a single byte is twice itself."""
@@ -147,15 +161,88 @@ class Transducer:
         States are numbered until the table is full; those met later have number -1 and are
         worked out anew each time.
         """
-        key = self._next(self.state[state] if state >= 0 else held, byte)
+        after = self._next(_unpacked(self.state[state]) if state >= 0 else held, byte)
+        key = _packed(after)
         to = self.number.get(key, -1)
         if to < 0 and len(self.state) < MOST_STATES:
             to = self.number[key] = len(self.state)
             self.state.append(key)
-            self.last.append(key[0])
-        if state >= 0 and to >= 0:
-            self.moves[state << 8 | byte] = to
-        return to, key
+            if to >= len(self.last):
+                self.last = np.concatenate([self.last, np.full(len(self.last), -1, np.int32)])
+            self.last[to] = after[0]
+        return to, after
+
+    def _moved(self, state: int, held: tuple | None, byte: int) -> tuple[int, tuple | None, int]:
+        """(number, state, last token) after a byte of a long piece."""
+        to = self.moves.get(state << 8 | byte) if state >= 0 else None
+        if to is None:
+            to, held = self._step(state, held, byte)
+            if state >= 0 and to >= 0:
+                if len(self.moves) >= MOST_PAIRS:
+                    self.moves.clear()
+                self.moves[state << 8 | byte] = to
+            return to, held, held[0]
+        return to, None, int(self.last[to])
+
+    def _learn(self, fresh: dict[int, int]) -> None:
+        """Put new moves into the table while it has room."""
+        if fresh and len(self.table) + len(fresh) <= MOST_MOVES:
+            key = np.sort(np.fromiter(fresh, np.int64, len(fresh)))
+            at = np.searchsorted(self.table, key)
+            self.table = np.insert(self.table, at, key)
+            self.after = np.insert(self.after, at, [fresh[k] for k in key.tolist()])
+        fresh.clear()
+
+    def encode_pieces(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many of each piece, whether it left the table) of pieces of a byte or more, none of them a token."""
+        order = np.argsort(begin - end, kind="stable")  # long ones first: those that go on stand in front
+        b, n = begin[order], (end - begin)[order]
+        at, ends = np.cumsum(n) - n, np.empty(int(n.sum()), np.int32)
+        state, left = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+        held: dict[int, tuple] = {}
+        fresh: dict[int, int] = {}
+        for p in range(int(n[0]) if len(n) else 0):
+            m = int(np.searchsorted(-n, -p, "left"))
+            byte = data[b[:m] + p]
+            key = state[:m] << 8 | byte
+            to = np.full(m, -1, np.int64)
+            if len(self.table):
+                place = np.minimum(np.searchsorted(self.table, key), len(self.table) - 1)
+                known = self.table[place] == key
+                to[known] = self.after[place[known]]
+            last = self.last[np.maximum(to, 0)]
+            for i in np.flatnonzero(to < 0).tolist():
+                own = int(state[i])
+                number = fresh.get(int(key[i])) if own >= 0 else None
+                if number is None:
+                    number, after = self._step(own, held.pop(i, None), int(byte[i]))
+                    last[i] = after[0]
+                    if number < 0:
+                        held[i], left[i] = after, True
+                    elif own >= 0:
+                        fresh[int(key[i])] = number
+                else:
+                    last[i] = self.last[number]
+                to[i] = number
+            ends[at[:m] + p] = last
+            state[:m] = to
+            if len(fresh) > 256:
+                self._learn(fresh)
+        self._learn(fresh)
+        # back from the ends, a token of every piece at a time
+        rest, on, count, rows = n.copy(), np.arange(len(n)), np.zeros(len(n), np.int64), []
+        while len(on):
+            token = ends[at[on] + rest[on] - 1]
+            rows.append((on, token))
+            count[on] += 1
+            rest[on] -= self.sizes[token]
+            on = on[rest[on] > 0]
+        size, gone = np.empty(len(n), np.int64), np.empty(len(n), bool)
+        size[order], gone[order] = count, left
+        stop, ids = np.cumsum(size)[order], np.empty(int(count.sum()), np.uint32)
+        for k, (on, token) in enumerate(rows):
+            ids[stop[on] - 1 - k] = token
+        return ids, size, gone
 
     def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
         """The ids of one piece that arrives in blocks, each as soon as it is certain."""
@@ -163,13 +250,8 @@ class Transducer:
         ends: list[int] = []  # the last token of each prefix beyond what is emitted
         for block in blocks:
             for byte in block:
-                to = self.moves.get(state << 8 | byte) if state >= 0 else None
-                if to is None:
-                    state, held = self._step(state, held, byte)
-                    ends.append(held[0])
-                else:
-                    state = to
-                    ends.append(self.last[to])
+                state, held, end = self._moved(state, held, byte)
+                ends.append(end)
                 if len(ends) >= wait:
                     tokens = self._certain(ends)
                     yield from tokens
@@ -201,15 +283,10 @@ class Transducer:
             return [whole]
         if len(piece) > 4 * self.longest:
             return list(self.stream((piece,)))
-        state, held, moves, last, ends = 0, None, self.moves, self.last, []
+        state, held, ends = 0, None, []
         for byte in piece:
-            to = moves.get(state << 8 | byte) if state >= 0 else None
-            if to is None:
-                state, held = self._step(state, held, byte)
-                ends.append(held[0])
-            else:
-                state = to
-                ends.append(last[to])
+            state, held, end = self._moved(state, held, byte)
+            ends.append(end)
         return self._back(len(ends), ends)
 
 
@@ -300,7 +377,7 @@ class Codec:
     def __init__(self, lines: bytes, pattern: str) -> None:
         self.transducer = Transducer(load_ranks(lines))
         self.pattern = None if pattern == COMMON_PATTERN else regex.compile(pattern)
-        #: Pieces used lately, and those used before them: a full set ousts the older one.
+        #: Pieces that left the table and were used lately, and those used before them: a full set ousts the older one.
         self.pieces: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         top = max(self.transducer.bytes_of) + 1
@@ -308,17 +385,38 @@ class Codec:
         self.decimal, self.decimal_at = _rows([b"%d," % i for i in range(top)])
         self.raw_size, self.decimal_size = np.diff(self.raw_at), np.diff(self.decimal_at)
 
-    def _ids_of(self, piece: bytes) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self.older.get(piece)
-            if got is None:
-                got = np.array(self.transducer.encode_piece(piece), "<u4").tobytes()
-            if len(piece) <= LONG_PIECE:
-                if len(self.pieces) >= MOST_PIECES:
-                    self.older, self.pieces = self.pieces, {}
-                self.pieces[piece] = got
-        return got
+    def _ids_of(self, data: np.ndarray, raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, how many): those of piece k are ids[first[k]:first[k] + size[k]]."""
+        own, ranks, got, walk = self.transducer, self.transducer.ranks, [], []
+        for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+            piece = raw[a:b]
+            whole = ranks.get(piece)
+            if whole is not None:
+                got.append((whole,))
+            elif b - a > LONG_PIECE:
+                got.append(own.encode_piece(piece))
+            elif (known := self.pieces.get(piece) or self.older.get(piece)) is not None:
+                self._keep(piece, known)
+                got.append(np.frombuffer(known, "<u4").tolist())
+            else:
+                got.append(())
+                walk.append(k)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))
+        first = np.cumsum(size) - size
+        if walk:
+            at = np.array(walk)
+            walked, n, gone = own.encode_pieces(data, begin[at], end[at])
+            size[at], first[at] = n, len(ids) + np.cumsum(n) - n
+            ids = np.concatenate([ids, walked])
+            for k in at[gone].tolist():
+                self._keep(raw[begin[k] : end[k]], ids[first[k] : first[k] + size[k]].astype("<u4").tobytes())
+        return ids, first, size
+
+    def _keep(self, piece: bytes, ids: bytes) -> None:
+        if len(self.pieces) >= MOST_PIECES:
+            self.older, self.pieces = self.pieces, {}
+        self.pieces[piece] = ids
 
     def encode_chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of document k of a chunk of UTF-8 are ids[bounds[k]:bounds[k + 1]].
@@ -342,9 +440,8 @@ class Codec:
             number: dict[bytes, int] = {}  # two pieces of one hash
             which = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
             pick = np.unique(which, return_index=True)[1]
-        got = [self._ids_of(raw[a:b]) for a, b in zip(begin[pick].tolist(), end[pick].tolist(), strict=True)]
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        ids = _gather(np.frombuffer(b"".join(got), "<u4"), np.cumsum(size) - size, size, which)
+        ids, first, size = self._ids_of(data, raw, begin[pick], end[pick])
+        ids = _gather(ids, first, size, which)
         total = np.zeros(len(which) + 1, np.int64)
         np.cumsum(size[which], out=total[1:])
         return ids, total[np.searchsorted(begin, off, "left")]
@@ -413,6 +510,7 @@ def over_texts(docs: DataFrame, what: Callable, schema: str, path: str | None, p
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
+        only("bpe")
         own = codec(ranks.value, pattern)
         for b in batches:
             for i, j, data, off in chunks(b.column(1), 1 << 19):
